@@ -1,0 +1,4 @@
+"""Named queries over the operators, and the SQL they are checked against."""
+
+QUERIES: dict = {}
+SQL: dict = {}
