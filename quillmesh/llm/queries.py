@@ -104,7 +104,7 @@ _WORDS = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
 SQL = {
     "p5_found": f"""
         WITH d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM source_documents WHERE content IS NOT NULL),
-        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), i -> array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 0),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM d WHERE len(w) > 0),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
         SELECT x AS doc_a, y AS doc_b FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE c.c >= 0.5 * (p.n + q.n - c.c)""",
