@@ -128,10 +128,10 @@ _NO_NAME = frozenset(
 class Tracked:
     """A text with, for each of its characters, the source span it came from."""
 
-    __slots__ = ("starts", "stops", "text")
+    __slots__ = ("spelled", "starts", "stops", "text")
 
     def __init__(self, text: str):
-        self.text, self.starts, self.stops = text, None, None
+        self.text, self.starts, self.stops, self.spelled = text, None, None, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace disjoint spans, given in order; each new character stands for its whole span."""
@@ -186,7 +186,9 @@ def normalise(text: str) -> Tracked:
     t = Tracked(text)
     _fold(t)
     if re.search(r"[A-Za-z]", t.text):
-        t.rewrite([(m.start(), m.end(), _read_digits(m.group())) for m in _SPELLED.finditer(t.text) if re.search(r"[A-Za-z]", m.group()) and len(_read_digits(m.group())) >= 6])
+        edits = [(m.start(), m.end(), _read_digits(m.group())) for m in _SPELLED.finditer(t.text) if re.search(r"[A-Za-z]", m.group()) and len(_read_digits(m.group())) >= 6]
+        t.spelled = [t.source(a, b) for a, b, digits in edits if 7 <= len(digits) <= 15]
+        t.rewrite(edits)
     for p in _DISGUISED:
         edits = []
         for m in p.finditer(t.text):
@@ -246,8 +248,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if _is_name(name):
                 add(m.start("n"), m.start("n") + len(name), "person_name")
     out = []
-    for a, b, kind in sorted(taken):
-        x, y = t.source(a, b)
+    found = [(*t.source(a, b), kind) for a, b, kind in taken]
+    # Nobody spells digits one by one but for a number to be dialled, if it is no identity number.
+    found += [(a, b, "phone") for a, b in t.spelled if not any(x < b and a < y for x, y, _ in found)]
+    for x, y, kind in sorted(found):
         if not out or x >= out[-1][1]:
             out.append((x, y, kind))
     return out

@@ -9,7 +9,7 @@ Endings. What was appended after a cut (ellipses, closing tags, broken entities,
 is taken off. An open code fence, an open bracket or separator, or a half list mark is a cut. An end
 without punctuation is judged by the corpus: a last list item is whole if its end is that of list items
 which other lines follow; a last line of prose is whole if it is a closing phrase, one that recurs at
-the end of unrelated texts and begins no longer sentence. A text on its source's limit without
+the end of unrelated texts and is the beginning of no other sentence. A text on its source's limit without
 punctuation is cut.
 
 Scale. One pass parses the texts; what the corpus knows is two distinct sets of hashes, joined by
@@ -55,10 +55,13 @@ def _item_keys(words: list[str]) -> list[int]:
     return [_h("e", " ".join(words[-2:]) if len(words) > 2 else words[-1]), _h("f", f"{words[0]} {min(len(words), 12)}")]
 
 
-def _prose_keys(words: list[str], last: bool) -> list[int]:
-    """Beginnings of a sentence: what a half sentence would look like."""
-    keys = [_h("s", " ".join(words[:i])) for i in range(1, min(8, len(words) - last) + 1)]
-    return keys + [_h("p", words[0][:4])] * (not last)
+def _begins(words: list[str]) -> list[int]:
+    """Keys of what a half of this sentence would look like: up to seven words and one to four letters of the next."""
+    return [_h("s", " ".join([*words[:i], words[i][:k]])) for i in range(min(8, len(words))) for k in range(1, 1 + min(4, len(words[i])))]
+
+
+def _closing_begins(words: list[str]) -> list[int]:
+    return [_h("f", " ".join(words[:i])) for i in range(1, min(9, len(words)))]
 
 
 def read_ending(text: str | None) -> tuple[str, list[int], int | None, list[int]]:
@@ -94,7 +97,8 @@ def read_ending(text: str | None) -> tuple[str, list[int], int | None, list[int]
         for i, p in enumerate(parts):
             w = _words(p)
             if w:
-                taught += _prose_keys(w, final and i == len(parts) - 1)
+                open_end = final and i == len(parts) - 1 and not _CLOSED.search(p.rstrip())
+                taught += _closing_begins(w) if open_end else _begins(w)
     if _FENCE.match(last) and last.strip(" \t>`~") == "":
         return "whole", [], None, taught
     if _ITEM_MARK.match(last):
@@ -112,7 +116,7 @@ def read_ending(text: str | None) -> tuple[str, list[int], int | None, list[int]
         return "whole", [], None, taught
     if len(w) > 8:
         return "cut", [], None, taught
-    return "prose", [_h("s", " ".join(w)), _h("s", " ".join(w[:-1])) if len(w) > 1 else _h("p", w[0][:4])], _h("c", " ".join(w)), taught
+    return "prose", [_h("s", " ".join([*w[:-1], w[-1][:4]])), _h("f", " ".join(w))], _h("c", " ".join(w)), taught
 
 
 def _parse(batches):

@@ -172,10 +172,14 @@ def similar_vectors(
     base = base.select(F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"), "id", "vec")
 
     wanted = pivot_count(n := df.count(), pivots_per_sqrt)
-    rate = min(1.0, 4 * wanted / max(n, 1))
-    sample = base.where(F.pmod(F.xxhash64("h1", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
-    chosen = sample.groupBy("h1", "h2").agg(F.first("vec").alias("vec")).orderBy(F.xxhash64("h1", F.lit(13)), "h2").limit(wanted)
-    pivots = [r.vec for r in chosen.select("vec").collect()]
+    rate, pivots = min(1.0, 4 * wanted / max(n, 1)), []
+    while True:
+        sample = base.where(F.pmod(F.xxhash64("h1", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1)
+        chosen = sample.groupBy("h1", "h2").agg(F.first("vec").alias("vec")).orderBy(F.xxhash64("h1", F.lit(13)), "h2").limit(wanted)
+        pivots = [r.vec for r in chosen.select("vec").collect()]
+        if len(pivots) == wanted or rate == 1.0:
+            break
+        rate = min(1.0, 8 * rate)  # most rows are copies: few distinct vectors were in the sample
     if not pivots:
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
     shared = spark.sparkContext.broadcast(_unit(np.array(pivots, np.float32)).astype(np.float32))
