@@ -65,7 +65,7 @@ def _poster(pivots, dim: int, length: int, lists: int):
                 continue
             perm = nearest_pivots(_matrix(batch.column(1), dim), own, length)
             posted = min(lists, perm.shape[1])
-            packed = pa.array([r.tobytes() for r in perm], pa.binary())
+            packed = pa.array([r.tobytes() for r in perm.astype(np.int16)], pa.binary())
             rows = pa.array(np.repeat(np.arange(batch.num_rows), posted))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -90,7 +90,7 @@ def _searcher(dim: int, k: int, candidates: int, least: float | None):
         raw = _matrix(posted.column("vec"), dim)
         exact = _unit(raw)
         unit = exact.astype(np.float32)
-        perm = np.frombuffer(b"".join(posted.column("perm").to_pylist()), np.int32).reshape(n, -1)
+        perm = np.frombuffer(b"".join(posted.column("perm").to_pylist()), np.int16).reshape(n, -1)
         length = perm.shape[1]
         members = posted.column("members").combine_chunks()
         first = np.array([m[0] for m in members.to_pylist()], object)
@@ -148,10 +148,10 @@ def similar_vectors(
     k: int = 5,
     dim: int = 64,
     min_similarity: float | None = None,
-    pivots_per_sqrt: float = 2.0,
+    pivots_per_sqrt: float = 1.0,
     lists: int = 4,
-    perm_length: int = 8,
-    candidates: int = 64,
+    perm_length: int = 12,
+    candidates: int = 96,
 ) -> DataFrame:
     """(id, neighbour, similarity): for every id its ``k`` most similar other ids.
 
