@@ -36,3 +36,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """How many tasks a Python stage should have at least: shuffle partitions, or three a core if that is more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over enough tasks for work in Python.
+
+    By keys: hash partitioned into ``task_count`` partitions, which adaptive execution doesn't coalesce (a later
+    grouping by the keys needs no other shuffle). Without keys: only if the input is too small to be split
+    into two tasks a core by itself; large inputs are left as they are scanned.
+    """
+    spark = df.sparkSession
+    if keys:
+        return df.repartition(task_count(spark), *keys)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if size >= 2 * spark.sparkContext.defaultParallelism * split else df.repartition(task_count(spark))
