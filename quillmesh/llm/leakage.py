@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, spread
 
 MAX_SHARED_GRAMS = 4_000_000  # 8 bytes each
 
@@ -138,7 +138,7 @@ def leaked_items(
     if not 1 <= n <= min_run:
         raise ValueError("n must be between 1 and min_run")
     spark = docs.sparkSession
-    corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null")
+    corpus = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null"))
     held = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null and item_text is not null").distinct()
     kind = dict(held.dtypes)["item_id"]
     grams = cut_lineage(held.mapInPandas(_item_grams(n, min_run), f"item_id {kind}, at int, n_words int, gram bigint"))

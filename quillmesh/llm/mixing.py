@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 ROWS_A_BUCKET = 20_000
@@ -82,7 +82,7 @@ def plan_budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None
 def size_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, weight, tokens) of documents with a source and a text of at least one token, checkpointed."""
     rows = docs.where("doc_id is not null").select("doc_id", source_key(F.col("source")).alias("source"), F.col("text").alias("text")).where("source is not null and text is not null and text <> ''")
-    rows = rows.withColumn("weight", quality_weight(F.col("text")))
+    rows = spread(rows).withColumn("weight", quality_weight(F.col("text")))
     kind = dict(docs.dtypes)["doc_id"]
     return cut_lineage(rows.mapInPandas(_counter(tokenizer), f"doc_id {kind}, source string, weight double, tokens bigint").where("tokens > 0").dropDuplicates(["doc_id"]))
 
@@ -100,7 +100,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     buckets = max(1, min(1_000_000, -(-sized.count() // ROWS_A_BUCKET)))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     keyed = sized.withColumn("key", -F.log(uniform) / F.col("weight"))
-    keyed = keyed.withColumn("bucket", F.least(F.floor(buckets * (1 - F.exp(-0.85 * F.col("key")))), F.lit(buckets - 1)).cast("int"))
+    # Monotone in the key, and about even within a source: keys are near exponential with its mean weight as rate.
+    rates = sized.groupBy("source").agg(F.avg("weight").alias("rate"))
+    keyed = keyed.join(rates, "source").withColumn("bucket", F.least(F.floor(buckets * (1 - F.exp(-F.col("rate") * F.col("key")))), F.lit(buckets - 1)).cast("int")).drop("rate")
     # Partial sums by source and bucket: at most sources times buckets rows.
     sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     before = sums.withColumn("start", F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).drop("t")

@@ -6,8 +6,9 @@ are compared in batches; after each batch it is dropped as soon as the posterior
 similarity reaches the threshold falls below the miss probability. Survivors are verified on the sets.
 
 Scale. Bands move 16 bytes a band and representative; signatures and sets move only to the candidates.
-A band value shared by many representatives is cut into tiles, and each pair of tiles is a task of its
-own, so no hot band is gathered in one task. Classes of equal sets are never expanded before the end.
+A band value shared by many representatives is cut into tiles; each pair of tiles is a group of its own,
+whose pairs are pruned by their signatures before they become rows, so no hot band is gathered in one
+task nor written out in pairs. Classes of equal sets are never expanded before the end.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, spread
 
 WORD = re.compile(r"[^\W_]+")
-TILE = 256  # representatives of one band value that are paired in one row of tiles
+HOT = 64  # from so many representatives on, a band value is worked on in tiles
+TILE = 256  # representatives in a tile
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -108,10 +110,36 @@ def _pruner(least: list[int], batch: int):
     return run
 
 
+def _tile_pruner(least: list[int], batch: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        one = pdf[pdf["tile"] == i]
+        two = one if i == j else pdf[pdf["tile"] == j]
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}, dtype=str)
+        x = np.frombuffer(b"".join(one["sig"]), np.uint8).reshape(len(one), -1)
+        y = np.frombuffer(b"".join(two["sig"]), np.uint8).reshape(len(two), -1)
+        p, q = np.meshgrid(np.arange(len(x)), np.arange(len(y)), indexing="ij") if i != j else np.triu_indices(len(x), 1)
+        p, q = np.ravel(p), np.ravel(q)
+        agree = np.zeros(len(p), np.int64)
+        for k, need in enumerate(least):
+            at = slice(k * batch, (k + 1) * batch)
+            agree = agree + np.concatenate([(x[p[s : s + 8192], at] == y[q[s : s + 8192], at]).sum(axis=1) for s in range(0, len(p), 8192)] or [agree])
+            live = agree - ((k + 1) * batch - agree) / 255.0 >= need - 1e-9
+            p, q, agree = p[live], q[live], agree[live]
+            if not len(p):
+                break
+        a, b = one["doc"].to_numpy()[p], two["doc"].to_numpy()[q]
+        first = a < b
+        return pd.DataFrame({"a": np.where(first, a, b), "b": np.where(first, b, a)})
+
+    return run
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, *, words: int, bands: int, rows: int) -> DataFrame:
     """One row for each id with words: id, class of equal shingle sets, sets, band keys, byte signature."""
     docs = df.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text"))
-    docs = docs.where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")).groupBy("doc").agg(F.min("text").alias("text"))
+    docs = spread(docs.where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")), "doc").groupBy("doc").agg(F.min("text").alias("text"))
     return docs.mapInPandas(_sketch(words, bands, rows), "doc string, class string, shingles array<bigint>, bands array<bigint>, sig binary")
 
 
@@ -142,24 +170,24 @@ def near_duplicates(
     membership = made.select("doc", "class").join(reps, "class").select("doc", "rep")
     rep = made.join(reps.withColumnRenamed("rep", "doc"), ["class", "doc"], "left_semi").select("doc", "shingles", "bands", "sig")
 
+    sig = rep.select("doc", "sig")
+    least = posterior_table(threshold, miss, batch, bands * rows)
     posted = rep.select("doc", F.explode("bands").alias("band"))
     crowd = posted.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    tiles = (F.col("n") + TILE - 1) / TILE
-    posted = posted.join(crowd, "band").withColumn("tiles", F.floor(tiles).cast("int")).withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
-    # Row i of tiles meets column j: each member goes to every pair of tiles its own tile is in.
-    mates = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    spread = posted.select("band", "doc", "tile", F.explode(mates).alias("at")).select("band", "at", "doc", "tile")
-    left, right = spread.alias("l"), spread.alias("r")
-    pairs = (
-        left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.at") == F.col("r.at")) & (F.col("l.doc") < F.col("r.doc")))
-        .where((F.col("l.tile") != F.col("r.tile")) | (F.col("l.at.i") == F.col("l.at.j")))
-        .select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"))
-        .distinct()
-    )
-    least = posterior_table(threshold, miss, batch, bands * rows)
-    sig = rep.select("doc", "sig")
+    posted = posted.join(crowd, "band")
+    # Common case: few share a band; their pairs are rows, checked after the same pair of other bands is merged.
+    few = posted.where(F.col("n") <= HOT).select("band", "doc")
+    left, right = few.alias("l"), few.alias("r")
+    pairs = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.doc") < F.col("r.doc"))).select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).distinct()
     sided = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-    alive = cut_lineage(sided.mapInPandas(_pruner(least, batch), "a string, b string"))
+    seldom = sided.mapInPandas(_pruner(least, batch), "a string, b string")
+    # Hot bands: each pair of tiles is a group with its signatures, and only pairs that live become rows.
+    hot = posted.where(F.col("n") > HOT).join(sig, "doc").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    hot = hot.withColumn("tile", F.pmod(F.xxhash64("doc"), F.col("tiles")).cast("int"))
+    mates = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    spread = hot.select("band", "doc", "tile", "sig", F.explode(mates).alias("at")).select("band", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "doc", "tile", "sig")
+    often = spread.groupBy("band", "i", "j").applyInPandas(_tile_pruner(least, batch), "a string, b string")
+    alive = cut_lineage(seldom.unionByName(often).distinct())
     sets = rep.select("doc", "shingles")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = (

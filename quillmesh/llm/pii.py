@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.session import spread
+
 KINDS = ("email", "phone", "national_id", "address", "person_name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -290,7 +292,7 @@ def redact_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = df.select(F.col(id_col).alias("record_id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("record_id", rows.schema["record_id"].dataType), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("redacted", T.StringType())])
-    return rows.mapInPandas(_scan, schema).distinct()
+    return spread(rows).mapInPandas(_scan, schema).distinct()
 
 
 def personal_information(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -298,7 +300,7 @@ def personal_information(tables: dict[str, tuple[DataFrame, str, str]]) -> DataF
     parts = []
     for name, (df, id_col, text_col) in tables.items():
         rows = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text")).where("record_id is not null and text is not null")
-        found = rows.mapInPandas(_scan, "record_id string, kinds array<string>, redacted string")
+        found = spread(rows).mapInPandas(_scan, "record_id string, kinds array<string>, redacted string")
         parts.append(found.select(F.lit(name).alias("source_table"), "record_id", F.explode("kinds").alias("kind")))
     out = parts[0]
     for p in parts[1:]:

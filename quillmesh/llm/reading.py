@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.langid import language
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, spread
 
 BUCKETS = 1 << 18
 LEAST_WORDS = 60
@@ -199,7 +199,7 @@ def _grade(model, moments):
 def measured(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, lang, n_words, x) of documents with enough running text, checkpointed."""
     spark = docs.sparkSession
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
     counts = texts.select("text").mapInPandas(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     table = np.full(BUCKETS, 0.5)
     for r in counts:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.session import cut_lineage
+from quillmesh.session import cut_lineage, spread
 
 _APPENDED = re.compile(
     r"(?:\s|[​‌‍⁠﻿]|</?[a-zA-Z][^<>]{0,40}>?|…|\.\.\.+|[\[(]\s*(?:…|\.{3}|truncated|cut off|cut|continued|more|snip|cont\.?|truncado|cortado|contin[uú]a|continua)\s*[\])]|�+|&(?:#?\w{0,8});?)+$",
@@ -169,7 +169,7 @@ def cut_texts(df: DataFrame, id_col: str, source_col: str, text_col: str, contex
     counts; rows with a null id take no part; a null source is a source of its own.
     """
     texts = df.select(F.col(id_col).alias("rid"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text"), F.col(context_col).cast("string").alias("context")).where("rid is not null")
-    texts = texts.groupBy("rid").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "source", "context")).alias("s")).select("rid", "s.*")
+    texts = spread(texts, "rid").groupBy("rid").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "source", "context")).alias("s")).select("rid", "s.*")
     kind = dict(texts.dtypes)["rid"]
     parsed = cut_lineage(texts.mapInPandas(_parse, f"rid {kind}, source string, context string, state string, open array<bigint>, closing bigint, taught array<bigint>"))
     known = parsed.select(F.explode("taught").alias("key")).distinct()

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_PIVOTS = 16384  # times 64 floats: 4 MB to every task
+COPIES_A_PART = 20_000
 
 
 def usable_vector(vec, dim: int):
@@ -205,12 +206,16 @@ def similar_vectors(
             ).alias("near"),
         )
     )
-    # All ids of groups of copies: light columns only, and only groups with more than one id.
+    # All ids of groups of copies, light columns only. A large group is salted: each part of it meets the answer of its node.
     light = base.select("h1", "h2", "id")
-    copies = light.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.max("id").alias("last")).where(F.col("node") < F.col("last")).drop("last")
-    every = light.join(copies, ["h1", "h2"]).select("node", F.col("id").alias("copy")).distinct()
+    copies = light.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.max("id").alias("last"), F.count("*").alias("n")).where(F.col("node") < F.col("last"))
+    copies = copies.select("h1", "h2", "node", F.ceil(F.col("n") / COPIES_A_PART).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    every = light.join(copies, ["h1", "h2"]).select("node", part.alias("part"), F.col("id").alias("copy")).distinct()
+    asked = best.join(copies.select("node", "parts"), "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     return (
-        best.join(every, "node", "left")
+        asked.join(every, ["node", "part"], "left")
+        .where("parts is null or copy is not null")
         .withColumn("id", F.coalesce("copy", "node"))
         .select("id", F.explode(F.slice(F.filter("near", lambda s: s.id != F.col("id")), 1, k)).alias("s"))
         .select("id", F.col("s.id").alias("neighbour"), (-F.col("s.far")).alias("similarity"))
