@@ -112,6 +112,8 @@ _WEAK_NAME = re.compile(rf"(?i:(?<![\w]){_WEAK.replace(chr(92) + 'b', '')})[ \t\
 _THANKS_LOWER = re.compile(rf"(?i:(?<!\w)(?:(?:please\s+)?ask|thanks\s*,|thank\s+you\s*,|regards\s*,|obrigad[oa]\s*,|gracias\s*,|saludos\s*,))[ \t]+(?P<n>{_LOWER_TOKEN}[ \t]+{_LOWER_TOKEN})(?=[ \t]+(?:to|para)\b|\s*(?:$|\n|[.\"!])|[ \t]+[A-ZÀ-Þ¿(+\d]|[ \t]+\w+:)")
 _MAIL_NAME = re.compile(rf"(?<![\w])(?P<n>{_MIXED}|{_UPPER}|{_LOWER})[ \t]*<(?:mailto:)?[^<>\s]*@")
 _ALONE_NAME = re.compile(rf"(?:(?<=^)|(?<=\n)|(?<=\")|(?<=\\n)|(?<=[.!?][ \t]))[ \t]*(?P<n>{_MIXED}|{_UPPER})[ \t]*(?=$|\n|\"|\\n)")
+# A line, sentence or quoted value of two or three lower-case words, none of them a common word.
+_ALONE_LOWER = re.compile(r"(?:(?<=^)|(?<=\n)|(?<=[.!?] )|(?<=\"))(?P<n>[a-zß-ÿ]{3,}(?:-[a-zß-ÿ]+)?(?: [a-zß-ÿ]{3,}(?:-[a-zß-ÿ]+)?){1,2})(?=$|\n|\")")
 _RUN_ON = re.compile(rf"(?:(?<=^)|(?<=\n)|(?<=\")|(?<=\\n)|(?<=[.!?][ \t]))(?P<n>{_NAME_TOKEN}(?:[ \t]+{_NAME_TOKEN}){{1,2}}|{_NAME_TOKEN},[ \t]+{_NAME_TOKEN}|{_INITIAL}[ \t]+{_NAME_TOKEN})(?=[ \t]+[A-ZÀ-Þ¿\"\d(+])")
 # Words that are no part of a person's name though they stand where one could.
 _NO_NAME = frozenset(
@@ -244,7 +246,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 a, b = m.span("n") if "n" in p.groupindex else m.span()
                 if 7 <= sum(c.isdigit() for c in s[a:b]) <= 15 and not re.fullmatch(r"\d{4}-\d\d-\d\d.*", s[a:b]):
                     add(a, b, "phone")
-    for p in (_STRONG_NAME, _MAIL_NAME, _WEAK_NAME, _THANKS_LOWER, _ALONE_NAME, _RUN_ON):
+    for p in (_STRONG_NAME, _MAIL_NAME, _WEAK_NAME, _THANKS_LOWER, _ALONE_NAME, _ALONE_LOWER, _RUN_ON):
         for m in p.finditer(s):
             name = _trim_name(m["n"])
             if _is_name(name):

@@ -35,6 +35,8 @@ from quillmesh.llm import pii
         ("Signed: THORNEBROOK, ANN", ["person_name"], "Signed: [PERSON_NAME]"),
         ("I spoke with I. Okonderu about this.", ["person_name"], "I spoke with [PERSON_NAME] about this."),
         ("Ann Lee <x@y.example>", ["email", "person_name"], "[PERSON_NAME] <[EMAIL]>"),
+        ("Is it on?\nann thornebrook", ["person_name"], "Is it on?\n[PERSON_NAME]"),
+        ("no content", [], None),
         ("Thanks, Orsava Support", [], None),
         ("My name is the value of the Drasmont field.", [], None),
         ("", [], None),
