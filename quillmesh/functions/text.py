@@ -40,6 +40,14 @@ def string_hash(text: Column) -> Column:
     return F.when(wide >= (1 << 31), wide - (1 << 32)).otherwise(wide).cast("int")
 
 
+def hash_embedding(text: Column, dims: int) -> Column:
+    """Array of ``dims`` floats: counts of the words of the text in lower case, by their hash; null for null. For tests
+    and as a stand-in for a model."""
+    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
+    at = F.transform(words, lambda w: F.pmod(string_hash(w), F.lit(dims)))
+    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("float")))
+
+
 def as_double(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.patterns import INJECTION
-from quillmesh.functions.text import contains_any, string_hash, utf16_length
+from quillmesh.functions.text import contains_any, hash_embedding, string_hash, utf16_length
 from quillmesh.operators import chunking, codecs, mcp, prompt, retrieval, routing, usage
 from quillmesh.operators.encoded import encoded_injection
 from quillmesh.operators.guards import (
@@ -791,3 +791,14 @@ def chat_fake(spark: SparkSession, d: str) -> DataFrame:
 )
 def string_hashes(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("source is not null").select("source").distinct().select("source", string_hash(F.col("source")).cast("bigint").alias("hash"))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), w AS (SELECT source, unnest(list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '')) AS w FROM d),
+    h AS (SELECT source, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS k FROM w)
+    SELECT d.source, b.k::BIGINT AS bucket, count(h.k)::DOUBLE AS value FROM d CROSS JOIN (SELECT unnest(range(8)) AS k) b LEFT JOIN h ON h.source = d.source AND h.k = b.k GROUP BY 1, 2"""
+)
+def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d).where("source is not null").select("source").distinct()
+    made = rows.select("source", F.posexplode(hash_embedding(F.col("source"), 8)).alias("bucket", "value"))
+    return made.select("source", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("double").alias("value"))

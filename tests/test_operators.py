@@ -215,3 +215,68 @@ def test_chat_requests(spark):
     df = spark.createDataFrame([('{"model":"m","messages":[{"role":"user","content":"hi"}],"stream":true}',), ("junk{",), ('{"messages":[]}',), (None,)], "body string")
     got = loaders.chat_requests(df).collect()
     assert [r.error for r in got] == [None, "invalid_request", "invalid_request", "invalid_request"] and got[0].stream is True
+
+
+class _Server:
+    """A local server that answers as a chat provider and as a validator."""
+
+    def __enter__(self):
+        import json
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        class Handler(BaseHTTPRequestHandler):
+            def log_message(self, *a):
+                pass
+
+            def reply(self, status, body):
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(json.dumps(body).encode())
+
+            def do_POST(self):  # noqa: N802
+                sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                if self.path.startswith("/guards/"):
+                    self.reply(200, {"validationPassed": "bad" not in sent["llmOutput"], "validatedOutput": sent["llmOutput"]})
+                elif self.headers.get("Authorization") != "Bearer k":
+                    self.reply(401, {"error": "no"})
+                else:
+                    self.reply(200, {"id": "1", "model": sent["model"], "choices": [{"message": {"content": "re: " + sent["messages"][-1]["content"]}, "finish_reason": "length"}], "usage": {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3}})
+
+            def do_GET(self):  # noqa: N802
+                self.reply(200, {"data": [{"id": "m1"}, {"id": "m2"}]})
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        return f"http://127.0.0.1:{self.server.server_port}"
+
+    def __exit__(self, *a):
+        self.server.shutdown()
+
+
+def test_http_adapters(spark):
+    from quillmesh.operators.output_guards import external_verdict
+    from quillmesh.sources import http
+
+    requests = spark.createDataFrame([("r1", "p", "m", "hi", None)], "request_id string, provider_id string, model string, user_input string, history array<struct<role:string,content:string>>")
+    with _Server() as url:
+        r = pipeline.chat(requests, EngineConfig(), http.provider("openai", url, "k", 5)).first()
+        assert (r.content, r.finish_reason, r.total_tokens, r.provider_error) == ("re: hi", "LENGTH", 3, None)
+        assert pipeline.chat(requests, EngineConfig(), http.provider("openai", url, None, 5)).first().provider_error == "auth"
+        texts = spark.createDataFrame([("good",), ("bad",), (None,)], "t string")
+        seen = http.validate(texts, "t", url, "a b/c")
+        got = {x.t: x.r for x in seen.select("t", external_verdict(F.col("t"), F.col("http_status"), F.col("http_body"))["reason_code"].alias("r")).collect()}
+        assert got == {"good": None, "bad": "guardrails-ai-validation-failed", None: None}
+        assert [m["id"] for m in http.list_models("openai", url)] == ["m1", "m2"]
+    assert pipeline.chat(requests, EngineConfig(), http.provider("ollama", "http://127.0.0.1:9", None, 1)).first().provider_error == "timeout"
+    assert http.validator_url("http://h/", "a b/c") == "http://h/guards/a%20b%2Fc/validate"
+    assert http.models_listed("ollama", '{"models":[{"name":"x"}]}')[0]["id"] == "x"
+
+
+def test_hash_embedding_finds_the_text_with_the_words(spark):
+    from quillmesh.functions.text import hash_embedding
+
+    docs = spark.createDataFrame([("postgres.txt#0", "postgres supports vector search in the database"), ("bananas.txt#0", "bananas are yellow and sweet"), ("null", None)], "id string, content string")
+    docs = docs.withColumn("embedding", hash_embedding(F.col("content"), 16))
+    query = spark.createDataFrame([("Which database supports vector search?",)], "q string").select(hash_embedding(F.col("q"), 16).alias("v")).first().v
+    assert sum(query) == 5 and retrieval.retrieve(docs, query, 1).first().id == "postgres.txt#0"
