@@ -200,10 +200,9 @@ def measured(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, lang, n_words, x) of documents with enough running text, checkpointed."""
     spark = docs.sparkSession
     texts = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    counts = texts.select("text").mapInPandas(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = texts.select("text").mapInPandas(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full(BUCKETS, 0.5)
-    for r in counts:
-        table[r.bucket] = r.n
+    table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     rarity = spark.sparkContext.broadcast((np.log2(max(table.sum(), 2.0)) - np.log2(table)).astype(np.float32))
     kind = dict(docs.dtypes)["doc_id"]
     return cut_lineage(texts.mapInPandas(_measure(rarity, least_words), f"doc_id {kind}, lang string, n_words int, x array<double>"))
