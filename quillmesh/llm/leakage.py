@@ -146,7 +146,7 @@ def leaked_items(
     doc_kind = dict(corpus.dtypes)["doc_id"]
     schema = f"doc_id {doc_kind}, text string, grams array<bigint>"
     if number <= MAX_SHARED_GRAMS:
-        table = np.unique(np.r_[grams.select("gram").toArrow()["gram"].to_numpy(), np.zeros(number == 0, np.int64)])
+        table = np.unique(np.r_[grams.select("gram").toArrow()["gram"].to_numpy(), np.zeros(int(number == 0), np.int64)])
         hits = cut_lineage(corpus.mapInPandas(_doc_hits(spark.sparkContext.broadcast(table), n), schema))
     else:
         every = corpus.mapInPandas(_doc_hits(None, n), schema)
