@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,3 +89,15 @@ def correlate_streams(requests: DataFrame, replies: DataFrame, timeout: str = "3
 def running_usage(log: DataFrame) -> DataFrame:
     """Totals by provider and model over a stream, in update or complete mode."""
     return usage_totals(log)
+
+
+def isolated(write):
+    """A foreachBatch function that logs what ``write(batch, epoch)`` raises and goes on, for audit sinks that must not stop a query."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        try:
+            write(batch, epoch)
+        except Exception:
+            logging.getLogger(__name__).exception("audit sink failed in epoch %s", epoch)
+
+    return run

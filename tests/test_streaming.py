@@ -55,3 +55,17 @@ def test_correlation_with_timeout(spark, tmp_path):
     _run(streams.correlate_streams(left, right), "correlated", tmp_path)
     got = dict(rows_of(spark.table("correlated"), "id", "status"))
     assert got[1] == "ok" and got[3] == "ok" and got.get(2, "timeout") == "timeout"
+
+
+def test_audit_sinks_are_isolated(spark, tmp_path):
+    seen = []
+
+    def write(batch, epoch):
+        seen.append(batch.count())
+        raise RuntimeError("sink down")
+
+    df = _stream(spark, tmp_path, [[("a", "x")], [("b", "y")]], "id string, text string")
+    q = df.writeStream.foreachBatch(streams.isolated(write)).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(seen) == 2 and q.exception() is None
