@@ -34,6 +34,8 @@ _LOOK_ALIKES = dict(
 )
 _HIDDEN = re.compile("[­͏؜ᅟᅠ᠎​-‏‪-‮⁠-⁤⁦-⁯﻿]")
 _ODD = re.compile("[^\x00-ſ’‘“”–—…€]|[ ­]")
+_JSON_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|.)", re.S)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\n", "b": " ", "f": "\n"}
 # Spelled digits of three languages.
 _DIGIT = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -186,8 +188,15 @@ def _read_digits(words: str) -> str:
     return "".join(out)
 
 
+def _unescape_json(t: Tracked) -> None:
+    """Escapes of JSON text as the characters they stand for."""
+    if "\\" in t.text and t.text.lstrip()[:1] in ("{", "["):
+        t.rewrite([(m.start(), m.end(), chr(int(m[1], 16)) if m[1] else _ESCAPES.get(m[0][1], m[0][1])) for m in _JSON_ESCAPE.finditer(t.text)])
+
+
 def normalise(text: str) -> Tracked:
     t = Tracked(text)
+    _unescape_json(t)
     _fold(t)
     if re.search(r"[A-Za-z]", t.text):
         edits = [(m.start(), m.end(), _read_digits(m.group())) for m in _SPELLED.finditer(t.text) if re.search(r"[A-Za-z]", m.group()) and len(_read_digits(m.group())) >= 6]

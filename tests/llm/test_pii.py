@@ -37,6 +37,7 @@ from quillmesh.llm import pii
         ("Ann Lee <x@y.example>", ["email", "person_name"], "[PERSON_NAME] <[EMAIL]>"),
         ("Is it on?\nann thornebrook", ["person_name"], "Is it on?\n[PERSON_NAME]"),
         ("no content", [], None),
+        (r'{"note": "Ann Thornebrook\n12 Larkmoor Road, Apt 3\n+44 7700 900092"}', ["address", "person_name", "phone"], r'{"note": "[PERSON_NAME]\n[ADDRESS]\n[PHONE]"}'),
         ("Thanks, Orsava Support", [], None),
         ("My name is the value of the Drasmont field.", [], None),
         ("", [], None),
