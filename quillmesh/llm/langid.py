@@ -6,10 +6,10 @@ import re
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is that it for was on are with as be at this have from or by not but what all were we when your can there use each which she do how their if will up other about out then these so some would into has more no could than who now only its between every before after while without because both where why should you",
-    "pt": "o os a as um uma uns umas de do da dos das em no na nos nas por pelo pela para com sem que e é são não se mais mas como quando onde porque ou ao aos à às este esta isso seu sua foi ser ter está estão você depois antes entre sobre até também já só num numa qual quais duas dois fica nenhum nosso nossa há muito esse essa ele ela isto meu minha pode",
-    "es": "el los la las un una unos unas de del en por para con sin que y es son no se más pero como cuando donde porque al este esta eso su fue ser tener está están usted después antes entre sobre hasta también ya solo cada qué cuál cómo dos hay queda ningún nuestro nuestra mientras lo le muy ese él ella mi puede desde siempre quien según",
-    "fr": "le les la un une des de du en dans par pour avec sans que qui et est sont ne pas se plus mais comme quand où parce ou au aux ce cette son sa fut être avoir vous nous il elle après avant entre sur jusqu aussi déjà seulement chaque quel quelle deux l d n s qu c puis votre notre ces leur très",
+    "en": "the of and to in is that it for was on are with as be at this have from or by not but what all were we when your can there use each which she do how their if will up other about out then these so some would into has more no could than who now only its between every before after while without because both where why should you an please write list explain help me my here there just may must whether until during",
+    "pt": "o os a as um uma uns umas de do da dos das em no na nos nas por pelo pela para com sem que e é são não se mais mas como quando onde porque ou ao aos à às este esta isso seu sua foi ser ter está estão você depois antes entre sobre até também já só num numa qual quais duas dois fica nenhum nosso nossa há muito esse essa ele ela isto meu minha pode explique escreva liste traduza responda faço favor",
+    "es": "el los la las un una unos unas de del en por para con sin que y es son no se más pero como cuando donde porque al este esta eso su fue ser tener está están usted después antes entre sobre hasta también ya solo cada qué cuál cómo dos hay queda ningún nuestro nuestra mientras lo le muy ese él ella mi puede desde siempre quien según explica escribe enumera traduce responde favor quién ayudas",
+    "fr": "le les la un une des de du en dans par pour avec sans que qui et est sont ne pas se plus mais comme quand où parce ou au aux ce cette son sa fut être avoir vous nous il elle après avant entre sur jusqu aussi déjà seulement chaque quel quelle deux puis votre notre ces leur très",
     "de": "der die das den dem des ein eine einen einem einer von zu im in mit ohne für auf ist sind nicht und oder aber wie wenn wo weil dass als am an aus bei nach vor zwischen über bis auch schon nur jede jeder welche zwei es er sie wir ihr sich wird werden kann haben hat danach damit keine sobald bevor um öffnen wählen um zur zum durch",
 }
 # Letters that tell languages apart, with their weight.
@@ -18,6 +18,8 @@ LETTERS = {"en": (), "pt": ("ã", "õ", "ç", "ê", "ô", "â", "à"), "es": ("
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _SHARE = {w: sum(w in s for s in _SETS.values()) for s in _SETS.values() for w in s}
 _WORD = re.compile(r"(?<![\w@./-])[^\W\d_]+(?![\w@])")
+_ELISION = re.compile(r"(?<!\w)(?:[cdjlmnst]|qu)['’](?=[aeéèêhiouyâîô])")
+_FIRST = re.compile(r"\n|(?<=[.!?])\s")
 
 
 def language_scores(text: str) -> tuple[dict[str, float], int]:
@@ -30,6 +32,7 @@ def language_scores(text: str) -> tuple[dict[str, float], int]:
             for lang, known in _SETS.items():
                 if w in known:
                     score[lang] += 1.0 / k
+    score["fr"] += 0.5 * len(_ELISION.findall(lower))
     for lang, signs in LETTERS.items():
         score[lang] += 0.3 * sum(lower.count(s) for s in signs)
     return score, len(words)
@@ -42,3 +45,11 @@ def language(text: str | None, least: float = 1.0) -> str | None:
     score, _ = language_scores(text)
     first, second = sorted(score, key=score.get, reverse=True)[:2]
     return first if score[first] >= least and score[first] > 1.15 * score[second] else None
+
+
+def prompt_language(text: str | None, least: float = 0.6) -> str | None:
+    """The language of a request: that of the beginning of its first sentence, which asks; if that isn't clear, of the whole."""
+    if not text or not text.strip():
+        return None
+    asks = " ".join(_FIRST.split(text.strip(), maxsplit=1)[0].split()[:14])
+    return language(asks, 1.0) or language(text, least)
