@@ -29,7 +29,7 @@ from quillmesh.operators.guards import (
 )
 from quillmesh.operators.output_guards import external_verdict, grounding_verdict, json_schema, parse_grounding
 from quillmesh.plans import pipeline
-from quillmesh.session import table
+from quillmesh.session import spread, table
 from quillmesh.sources.config import EngineConfig
 
 QUERIES: dict = {}
@@ -186,7 +186,7 @@ def encoded_guard(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 3, F.base64(F.base64(F.lit(attack))))
         .otherwise(F.lit(""))
     )
-    rows = _docs(spark, d).select("doc_id", F.concat(F.col("text"), F.lit("\n"), hidden).alias("text"))
+    rows = spread(_docs(spark, d)).select("doc_id", F.concat(F.col("text"), F.lit("\n"), hidden).alias("text"))
     return GuardChain([encoded_injection()]).run(rows, "text").select("doc_id", "action", "reason_code")
 
 
