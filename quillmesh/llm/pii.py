@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmesh.llm.langid import FUNCTION_WORDS
 from quillmesh.session import spread
 
 KINDS = ("email", "phone", "national_id", "address", "person_name")
@@ -117,17 +118,17 @@ _ALONE_NAME = re.compile(rf"(?:(?<=^)|(?<=\n)|(?<=\")|(?<=\\n)|(?<=[.!?][ \t]))[
 # A line, sentence or quoted value of two or three lower-case words, none of them a common word.
 _ALONE_LOWER = re.compile(r"(?:(?<=^)|(?<=\n)|(?<=[.!?] )|(?<=\"))(?P<n>[a-zß-ÿ]{3,}(?:-[a-zß-ÿ]+)?(?: [a-zß-ÿ]{3,}(?:-[a-zß-ÿ]+)?){1,2})(?=$|\n|\")")
 _RUN_ON = re.compile(rf"(?:(?<=^)|(?<=\n)|(?<=\")|(?<=\\n)|(?<=[.!?][ \t]))(?P<n>{_NAME_TOKEN}(?:[ \t]+{_NAME_TOKEN}){{1,2}}|{_NAME_TOKEN},[ \t]+{_NAME_TOKEN}|{_INITIAL}[ \t]+{_NAME_TOKEN})(?=[ \t]+[A-ZÀ-Þ¿\"\d(+])")
-# Words that are no part of a person's name though they stand where one could.
-_NO_NAME = frozenset(
-    "the a an this that these those it its my your his her our their we you he she they i and or but if when while with without about after before since each every both whoever most "
-    "none no nobody does do did is are was were be has have had not to of in on at by for from as so then first now there here what why who how which where all some any never "
-    "o os um uma uns umas de da do das dos e em no na nos nas por para com sem que se não mais mas como quando onde já só este esta isso depois antes cada tanto nossa nosso ninguém "
-    "el la los las un una unos unas del al y en con sin que se más pero cómo cuando donde ya este esta eso después antes cada ningún nadie nuestro nuestra "
-    "support team desk service services gateway lane street group department dept office helpdesk center centre admin administrator system bot loop platform project product store lab labs cloud suite engine server "
-    "portal manager console agent assistant operator equipe time suporte atendimento equipo soporte servicio proyecto projeto serviço agente user usuario usuário customer value field names name "
-    "version build route port batch run order call call limit january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday "
-    "english spanish portuguese french german remember customers start sure hope good let happy restart wait open save check compare please thanks regards yes true false null note contact phone address social security number "
-    "espera espere abre abra salve guarda revisa confira reinicia reinicie compara compare existem hay claro desde como sem sin para recuerda lembre convém conviene movemos movimos ticket ref reach me because both thanks quando nach sobald um wenn version most our nobody existem".split()
+# Words that are no part of a person's name though they stand where one could: the function words of three languages, and
+# fixed values: words of teams, products, dates and of how sentences begin.
+_NO_NAME = frozenset(w for lang in ("en", "pt", "es") for w in FUNCTION_WORDS[lang].split()) | frozenset(
+    "admin administrator agent agente assistant atendimento bot center centre cloud console customer customers department dept desk engine equipe equipo "
+    "gateway group helpdesk lab labs lane loop manager office operator platform portal product project projeto proyecto server service services servicio "
+    "serviço soporte store street suite suporte support system team ticket user usuario usuário "
+    "january february april june july august september october november december monday tuesday wednesday thursday friday saturday sunday march "
+    "english french german portuguese spanish address build call contact field limit name names number order phone port ref route run security social value version "
+    "any did does had happy her his hope let most never nobody none note null false true our remember restart since start sure thanks they those time wait whoever yes "
+    "check compare good open reach regards save batch claro existem movemos movimos nadie ninguém tanto conviene convém recuerda lembre "
+    "abra abre compara confira espera espere guarda reinicia reinicie revisa salve he nach sobald wenn".split()
 )
 
 
