@@ -1,12 +1,14 @@
-"""Evaluation texts inside a corpus: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts inside a corpus: n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of an item is looked for in every document. The n-grams found are counted over the corpus;
-of each window of ``min_run`` words of an item the rarest n-gram is a seed. Each document and item that
-share a seed are aligned word by word, which scores edited and paraphrased copies and yields the longest
-verbatim run. A run of ``min_run`` words holds at least one window, hence one seed: none is lost.
+Every n-gram of an item is looked for in every document, and each one found is a seed, however rare or
+frequent: an edit destroys some n-grams of a copy, and which ones are left can't be told from the corpus.
+Each document and item that share a seed are aligned word by word, which scores edited and paraphrased
+copies and yields the longest verbatim run. Only pairs whose common words are too few or too far
+apart to reach a threshold in any order are passed over. No pair that shares an n-gram is lost, hence no run of ``min_run`` words.
 
-Scale. The items' n-grams go to every task as one sorted array as long as they number at most
-``MAX_SHARED_GRAMS`` (counted first); more are joined by shuffle. Only documents with a hit go on.
+Scale. The items and their n-grams go to every task as long as the n-grams number at most
+``MAX_SHARED_GRAMS`` (counted first), and documents are aligned as they are read; more are joined by
+shuffle. The work grows with the pairs that share an n-gram, so with boilerplate common to both tables.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.session import cut_lineage, spread
@@ -85,36 +88,83 @@ def _item_grams(n: int, min_run: int):
             for item, text in zip(pdf["item_id"], pdf["item_text"]):
                 words = plain_words(text)
                 if len(words) >= min_run:
-                    out += [(item, i, len(words), int(g)) for i, g in enumerate(gram_hashes(words, n))]
-            yield pd.DataFrame(out, columns=["item_id", "at", "n_words", "gram"])
+                    out += [(item, g) for g in np.unique(gram_hashes(words, n)).tolist()]
+            yield pd.DataFrame(out, columns=["item_id", "gram"])
 
     return run
 
 
-def _doc_hits(grams, n: int):
+def _shared(texts: pd.DataFrame, grams: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list, list[str]]:
+    """(sorted n-grams, bounds of each one's owners, owners, item ids, item texts); an owner is a place in the last two."""
+    at = pd.Index(texts["item_id"]).get_indexer(grams["item_id"])
+    gram = grams["gram"].to_numpy(np.int64)
+    order = np.argsort(gram, kind="stable")
+    table, first = np.unique(gram[order], return_index=True)
+    return table, np.append(first, len(gram)), at[order].astype(np.int32), texts["item_id"].tolist(), texts["item_text"].tolist()
+
+
+def most_score(known: np.ndarray) -> int:
+    """No alignment scores more, given which words of one side the other side has: 2 for each of those, -1 for each other."""
+    total = np.cumsum(np.where(known, 2, -1))
+    return max(0, int((total - np.minimum.accumulate(np.minimum(np.append(0, total[:-1]), 0))).max(initial=0)))
+
+
+def _score(doc_id, words: list[str], present: set[str], item_id, item: list[str], min_run: int, min_share: float):
+    """The row of a pair, or nothing if the words that the two have in common are too few, or too far apart."""
+    own, whole = set(item), 2.0 * len(item)
+    if sum(w in present for w in item) < min_run and most_score(np.array([w in present for w in item])) / whole < min_share:
+        return []
+    known = np.array([w in own for w in words])
+    if most_score(known) / whole < min_share and "1" * min_run not in "".join("01"[k] for k in known.tolist()):
+        return []
+    score, run = align(item, words)
+    return [(doc_id, item_id, score, score / whole, run)]
+
+
+_SCORED = ["doc_id", "item_id", "score", "share", "longest_run"]
+
+
+def _screen(shared, n: int, min_run: int, min_share: float):
     def run(batches):
+        table, bounds, owners, ids, texts = shared.value
+        words_of = lru_cache(4096)(lambda i: plain_words(texts[i]))
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                found = np.unique(gram_hashes(plain_words(text), n))
-                if grams is not None and len(found):
-                    table = grams.value
-                    found = found[table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found]
-                if len(found):
-                    out.append((doc, text, found))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "grams"])
+                words = plain_words(text)
+                found = np.unique(gram_hashes(words, n))
+                if not len(found) or not len(table):
+                    continue
+                at = np.minimum(np.searchsorted(table, found), len(table) - 1)
+                at = at[table[at] == found]
+                if len(at):
+                    present = set(words)
+                    for i in np.unique(np.concatenate([owners[bounds[k] : bounds[k + 1]] for k in at])):
+                        out += _score(doc, words, present, ids[i], words_of(int(i)), min_run, min_share)
+            yield pd.DataFrame(out, columns=_SCORED)
 
     return run
 
 
-def _aligner(batches):
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples(index=False):
-            words, item = plain_words(r.text), plain_words(r.item_text)
-            score, run = align(item, words)
-            out.append((r.doc_id, r.item_id, score, score / (2.0 * len(item)), run))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "share", "longest_run"])
+def _doc_grams(n: int):
+    def run(batches):
+        for pdf in batches:
+            out = [(doc, np.unique(gram_hashes(plain_words(text), n))) for doc, text in zip(pdf["doc_id"], pdf["text"])]
+            yield pd.DataFrame(out, columns=["doc_id", "grams"])
+
+    return run
+
+
+def _aligner(min_run: int, min_share: float):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                words = plain_words(r.text)
+                out += _score(r.doc_id, words, set(words), r.item_id, plain_words(r.item_text), min_run, min_share)
+            yield pd.DataFrame(out, columns=_SCORED)
+
+    return run
 
 
 def leaked_items(
@@ -130,36 +180,29 @@ def leaked_items(
     min_share: float = 0.5,
 ) -> DataFrame:
     """(doc_id, item_id, score, share, longest_run): documents with a verbatim run of ``min_run`` words of an
-    item or with an alignment that scores at least ``min_share`` of the item's own score.
+    item or with an alignment that scores at least ``min_share`` of the item's own score, of all that share
+    ``n`` consecutive words with it.
 
     Rows with a null id or text take no part, nor do items of fewer than ``min_run`` words. An item or
-    document given twice counts once. Empty tables give an empty result; other columns are ignored.
+    document given twice counts once; of several texts of an item the smallest counts. Empty tables give an empty result; other columns are ignored.
     """
     if not 1 <= n <= min_run:
         raise ValueError("n must be between 1 and min_run")
     spark = docs.sparkSession
     corpus = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null"))
-    held = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null and item_text is not null").distinct()
+    held = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null and item_text is not null")
+    held = held.groupBy("item_id").agg(F.min("item_text").alias("item_text"))
     kind = dict(held.dtypes)["item_id"]
-    grams = cut_lineage(held.mapInPandas(_item_grams(n, min_run), f"item_id {kind}, at int, n_words int, gram bigint"))
-    number = grams.count()
+    grams = cut_lineage(held.mapInPandas(_item_grams(n, min_run), f"item_id {kind}, gram bigint"))
     doc_kind = dict(corpus.dtypes)["doc_id"]
-    schema = f"doc_id {doc_kind}, text string, grams array<bigint>"
-    if number <= MAX_SHARED_GRAMS:
-        table = np.unique(np.r_[grams.select("gram").toArrow()["gram"].to_numpy(), np.zeros(int(number == 0), np.int64)])
-        hits = cut_lineage(corpus.mapInPandas(_doc_hits(spark.sparkContext.broadcast(table), n), schema))
+    schema = f"doc_id {doc_kind}, item_id {kind}, score int, share double, longest_run int"
+    if grams.count() <= MAX_SHARED_GRAMS:
+        texts = held.join(grams.select("item_id").distinct(), "item_id", "left_semi")
+        shared = _shared(texts.toArrow().to_pandas(), grams.toArrow().to_pandas())
+        scored = corpus.mapInPandas(_screen(spark.sparkContext.broadcast(shared), n, min_run, min_share), schema)
     else:
-        every = corpus.mapInPandas(_doc_hits(None, n), schema)
-        met = every.select("doc_id", F.explode("grams").alias("gram")).join(grams.select("gram").distinct(), "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-        hits = cut_lineage(corpus.join(met, "doc_id"))
-    found = hits.select("doc_id", F.explode("grams").alias("gram"))
-    often = found.groupBy("gram").agg(F.count("*").alias("df"))
-    # Each window of min_run words starting at s holds the n-grams s .. s + min_run - n; its rarest is a seed.
-    counted = grams.join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ahead = Window.partitionBy("item_id").orderBy("at").rowsBetween(0, min_run - n)
-    rarest = counted.withColumn("seed", F.min(F.struct("df", "at", "gram")).over(ahead)).where(F.col("at") <= F.col("n_words") - min_run)
-    seeds = rarest.where("seed.df > 0").select("item_id", F.col("seed.gram").alias("gram")).distinct()
-    candidates = found.join(seeds, "gram").select("doc_id", "item_id").distinct()
-    work = candidates.join(hits.select("doc_id", "text"), "doc_id").join(held.dropDuplicates(["item_id"]), "item_id")
-    scored = work.mapInPandas(_aligner, f"doc_id {doc_kind}, item_id {kind}, score int, share double, longest_run int")
+        found = corpus.mapInPandas(_doc_grams(n), f"doc_id {doc_kind}, grams array<bigint>").select("doc_id", F.explode("grams").alias("gram"))
+        candidates = found.join(grams, "gram").select("doc_id", "item_id").distinct()
+        work = candidates.join(corpus, "doc_id").join(held, "item_id")
+        scored = work.mapInPandas(_aligner(min_run, min_share), schema)
     return scored.where((F.col("longest_run") >= min_run) | (F.col("share") >= min_share)).distinct()

@@ -69,6 +69,29 @@ def test_many_items_are_joined_by_shuffle(spark, monkeypatch):
     assert rows_of(L.leaked_items(d, e), "doc_id", "item_id", "score", "longest_run") == want == [(1, 10, 2 * len(L.plain_words(ITEM)), len(L.plain_words(ITEM)))]
 
 
+def test_no_pair_above_a_threshold_is_passed_over():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = [[f"w{x}" for x in rng.integers(0, 9, n)] for n in rng.integers(6, 40, 2)]
+        score, run = L.align(a, b)
+        want = [(1, 2, score, score / (2.0 * len(a)), run)]
+        if run >= 5 or score / (2.0 * len(a)) >= 0.5:
+            assert L._score(1, b, set(b), 2, a, 5, 0.5) == want
+        assert min(L.most_score(np.isin(b, a)), L.most_score(np.isin(a, b))) >= score
+
+
+@pytest.mark.parametrize("bound", [L.MAX_SHARED_GRAMS, 1])
+def test_an_edited_copy_without_a_verbatim_one_is_aligned(spark, monkeypatch, bound):
+    monkeypatch.setattr(L, "MAX_SHARED_GRAMS", bound)
+    w = ITEM.split()
+    edited = [*w]
+    edited[6] = edited[13] = "changed"
+    d = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join([*w[:5], *["other"] * 30]))], "doc_id bigint, text string")
+    e = spark.createDataFrame([(10, ITEM)], "item_id bigint, text string")
+    got = L.leaked_items(d, e).collect()
+    assert [(r.doc_id, r.item_id, r.longest_run) for r in got] == [(1, 10, 7)] and got[0].share == (2 * 19 - 2) / 42
+
+
 def _corpus(spark):
     rows = [(i, "Big Source" if i < 600 else "small_source" if i < 640 else "untargeted", f"some words of document {i} " * (1 + i % 7)) for i in range(700)]
     rows += [(1000, "big-source", None), (1001, None, "text"), (1002, "big source", "")]
