@@ -1,9 +1,12 @@
 """Defects of prompt and response pairs.
 
 Openings of all responses, with the words of their prompts masked, are clustered by verified minwise
-hashing. A cluster whose members for the most part decline is a refusal template, and its members that
-hold nothing but declining and courtesy are refusals, whether or not their own words decline. Copies,
-foreign languages, empty responses and cut ones are told by checks of their own.
+hashing. A refusal template is a cluster whose members for the most part decline, by known ways to
+decline, or one whose wording recurs: that of ``RECUR_WORDS`` words at least, which with courtesy is all
+that nearly all members say, to ``RECUR_PROMPTS`` prompts at least. Members of the first kind that hold
+nothing but declining and courtesy are refusals, whether or not their own words decline; of the second
+kind those that say no more than the template and have no other defect. Copies, foreign languages, empty
+responses and cut ones are told by checks of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.langid import language, prompt_language
@@ -20,6 +23,9 @@ from quillmesh.llm.neardup import near_duplicates
 from quillmesh.llm.truncation import cut_texts
 from quillmesh.session import cut_lineage, spread
 
+RECUR_PROMPTS = 3
+RECUR_WORDS = 5  # words that aren't the prompt's; shorter answers recur as facts do: "Yes", "About 10 seconds"
+
 _INVISIBLE = re.compile("[\\s­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x1f\x7f]+")
 # What stands for no value.
 _STAND_INS = frozenset(
@@ -105,12 +111,13 @@ def is_other_language(prompt: str | None, content: str) -> bool:
     return bool(own and given and own != given and given not in asked)
 
 
-def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str]:
-    """(a sentence declines, nothing but declining and courtesy, opening with the prompt's words masked)."""
+def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bool]:
+    """(a sentence declines, nothing but declining and courtesy, opening with the prompt's words masked, nothing but
+    the opening and courtesy). The opening is the sentence that declines first, else the first that isn't courtesy."""
     text = content.replace("’", "'").replace("‘", "'")
     sentences = [s for s in _SENTENCE.split(text) if s and _WORD.search(s)]
     declines = other = words = 0
-    opening = sentences[0] if sentences else ""
+    opening = next((s for s in sentences if not _COURTESY.search(s)), sentences[0] if sentences else "")
     for s in sentences:
         n = len(_WORD.findall(s))
         words += n
@@ -120,12 +127,13 @@ def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str]:
             declines += 1
         elif not _COURTESY.search(s):
             other += n
+    rest = other - (0 if declines or _COURTESY.search(opening) else len(_WORD.findall(opening)))
     mask = set(fold(prompt or "")) - _GLUE
     # A lead-in of few words up to a comma or dash says little of the template.
     opening = re.sub(r"^\W*(?:[^\s,;:—–!]+\s+){0,4}[^\s,;:—–!]+\s*[,;:—–!]\s*(?:but|mas|pero|however)?\s*", "", opening) if len(_WORD.findall(opening)) > 6 else opening
     masked = ["x" if w in mask or w.isdigit() else w for w in fold(opening)][:16]
     bare = declines > 0 and other <= 6 or declines == 0 and words <= 30
-    return declines > 0, bare and len(sentences) <= 6, " ".join(masked)
+    return declines > 0, bare and len(sentences) <= 6, " ".join(masked), bare and rest <= 6 and sum(w != "x" for w in masked) >= RECUR_WORDS
 
 
 def _label(batches):
@@ -133,20 +141,20 @@ def _label(batches):
         rows = []
         for prompt, content, finish in zip(pdf["prompt"], pdf["content"], pdf["finish"]):
             if is_empty(content):
-                rows.append((None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, None))
+                rows.append((None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, None, False))
             elif is_copy(prompt, content):
-                rows.append(("copy", False, False, None))
+                rows.append(("copy", False, False, None, False))
             else:
-                declines, bare, opening = decline_parts(prompt, content)
-                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, opening))
-        out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening"])
+                declines, bare, opening, alone = decline_parts(prompt, content)
+                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, opening, alone))
+        out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening", "alone"])
         yield pd.concat([pdf[["rid", "prompt_key"]].reset_index(drop=True), out], axis=1)
 
 
 def pair_defects(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """(response_id, defect) for the responses with a defect; each has one at most.
 
-    Order of precedence: empty, copy, refusal, other_language, truncated. Responses without a request
+    Order of precedence: empty, copy, refusal, other_language, truncated, refusal by recurrence alone. Responses without a request
     have no prompt: they can be empty, refusals or truncated. Repeated rows of an id count once; rows
     with a null id take no part; missing requests, null prompts and empty tables are allowed.
     """
@@ -154,17 +162,24 @@ def pair_defects(responses: DataFrame, requests: DataFrame) -> DataFrame:
     told = responses.where("response_id is not null").groupBy("response_id").agg(F.min(F.struct("request_id", "provider_id", "content", "finish_reason")).alias("s")).select(F.col("response_id").alias("rid"), "s.*")
     joined = told.join(ask, "request_id", "left").select("rid", "provider_id", "prompt", "content", F.col("finish_reason").alias("finish"), F.xxhash64(F.coalesce("prompt", "request_id", "rid")).alias("prompt_key"))
     pairs = cut_lineage(spread(joined, "rid"))
-    labelled = cut_lineage(pairs.mapInPandas(_label, "rid string, prompt_key bigint, own string, declines boolean, bare boolean, opening string"))
+    labelled = cut_lineage(pairs.mapInPandas(_label, "rid string, prompt_key bigint, own string, declines boolean, bare boolean, opening string, alone boolean"))
     membership, links = near_duplicates(labelled.where("opening is not null"), "rid", "opening", threshold=0.8, words=5, bands=24, rows=5)
     member = membership.join(labelled.withColumnRenamed("rid", "doc"), "doc")
-    classes = cut_lineage(member.groupBy("rep").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("d")))
+    classes = cut_lineage(member.groupBy("rep").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("d"), F.sum(F.col("alone").cast("int")).alias("alone")))
     sides = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionAll(links.select(F.col("rep_b"), F.col("rep_a")))
     around = sides.join(classes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2"))
     zero = F.lit(0)
     templates = classes.join(around, "rep", "left").where((F.col("d") + F.coalesce("d2", zero)) * 2 >= F.col("n") + F.coalesce("n2", zero)).select("rep")
+    # No more prompts of a class are needed than make a template, whether its own or those of linked classes.
+    few = Window.partitionBy("rep").orderBy("prompt_key")
+    asked = member.where("alone").select("rep", "prompt_key").distinct().withColumn("rk", F.row_number().over(few)).where(F.col("rk") <= RECUR_PROMPTS).select("rep", "prompt_key")
+    lone = classes.where(F.col("alone") >= 0.9 * F.col("n")).select("rep")
+    linked = sides.join(lone.withColumnRenamed("rep", "other"), "other", "left_semi").join(asked.withColumnRenamed("rep", "other"), "other").select("rep", "prompt_key")
+    recurring = asked.unionByName(linked).join(lone, "rep", "left_semi").groupBy("rep").agg(F.count_distinct("prompt_key").alias("p")).where(F.col("p") >= RECUR_PROMPTS).select("rep")
+    recurs = member.join(recurring, "rep", "left_semi").where("alone").select(F.col("doc").alias("rid")).withColumn("recurs", F.lit(True))
     refusals = member.join(templates, "rep", "left_semi").where("bare").select(F.col("doc").alias("rid")).withColumn("refusal", F.lit(True))
     cut = cut_texts(pairs, "rid", "provider_id", "content", "prompt_key").where("is_cut").select(F.col("id").alias("rid")).withColumn("cut", F.lit(True))
     defect = (
-        F.when(F.col("own").isin("empty", "copy"), F.col("own")).when(F.col("refusal"), F.lit("refusal")).when(F.col("own").isNotNull(), F.col("own")).when(F.col("cut") & F.col("opening").isNotNull(), F.lit("truncated"))
+        F.when(F.col("own").isin("empty", "copy"), F.col("own")).when(F.col("refusal"), F.lit("refusal")).when(F.col("own").isNotNull(), F.col("own")).when(F.col("cut") & F.col("opening").isNotNull(), F.lit("truncated")).when(F.col("recurs"), F.lit("refusal"))
     )
-    return labelled.join(refusals, "rid", "left").join(cut, "rid", "left").select(F.col("rid").alias("response_id"), defect.alias("defect")).where("defect is not null")
+    return labelled.join(refusals, "rid", "left").join(recurs, "rid", "left").join(cut, "rid", "left").select(F.col("rid").alias("response_id"), defect.alias("defect")).where("defect is not null")

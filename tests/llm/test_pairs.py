@@ -119,3 +119,18 @@ def test_pair_defects(spark):
     assert got == {"b": "empty", "d": "copy", "e": "refusal", "f": "other_language", "g": "truncated", "i": "empty", "j": "truncated"}
     assert P.pair_defects(responses.limit(0), requests.limit(0)).count() == 0
     assert P.pair_defects(responses, requests.limit(0)).count() > 0
+
+
+def test_a_recurring_wording_is_a_refusal_whatever_its_words(spark):
+    topics = ["rename the audit record in Velkin", "export a price list", "limit the queue of Ivarno", "read the token counter", *[f"order item number {i}" for i in range(6)]]
+    req = [(f"q{i}", f"How do I {t}?") for i, t in enumerate(topics)] + [("q9", ASK)]
+    wording = "Thank you for asking. This desk keeps silent about every such matter."
+    res = [(f"r{i}", f"q{i}", "p", wording, "STOP") for i in range(len(topics))]
+    res += [(f"y{i}", f"q{i}", "p", "Only on weekdays.", "STOP") for i in range(len(topics))]
+    res += [(f"o{i}", "q9", "p", "The silver lamp stands beside an old wooden gate.", "STOP") for i in range(4)]
+    res += [("long", "q0", "p", f"{wording} {ANSWER} {ANSWER}", "STOP")]
+    assert not any(P.decline_parts(None, x[3])[0] for x in res)
+    requests = spark.createDataFrame(req, "request_id string, user_input string")
+    responses = spark.createDataFrame(res, "response_id string, request_id string, provider_id string, content string, finish_reason string")
+    got = dict(rows_of(P.pair_defects(responses, requests), "response_id", "defect"))
+    assert got == {f"r{i}": "refusal" for i in range(len(topics))}
