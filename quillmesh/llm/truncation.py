@@ -65,7 +65,7 @@ def _closing_begins(words: list[str]) -> list[int]:
 
 
 def read_ending(text: str | None) -> tuple[str, list[int], int | None, list[int]]:
-    """(state, keys of an open end, key of the closing phrase, keys that this text teaches).
+    """(state, keys of an open end, key of an end without punctuation that may be whole, keys that this text teaches).
 
     States: blank, whole, cut, item (open list item), prose (open line of prose).
     """
@@ -113,7 +113,7 @@ def read_ending(text: str | None) -> tuple[str, list[int], int | None, list[int]
     parts = [p for p in _SPLIT.split(core) if p and p.strip()]
     w = _words(parts[-1])
     if not w or len(parts) == 1 and len(w) <= 5:
-        return "whole", [], None, taught
+        return "whole", [], _h("c", " ".join(w)), taught
     if len(w) > 8:
         return "cut", [], None, taught
     return "prose", [_h("s", " ".join([*w[:-1], w[-1][:4]])), _h("f", " ".join(w))], _h("c", " ".join(w)), taught
@@ -182,6 +182,7 @@ def cut_texts(df: DataFrame, id_col: str, source_col: str, text_col: str, contex
     judged = parsed.select("rid", "source", "state", "closing").join(hit, "rid", "left").join(recurring, "closing", "left").join(on_limit, "rid", "left")
     hits, at_limit = F.coalesce("hits", F.lit(0)), F.coalesce("at_limit", F.lit(False))
     item_cut = (hits < 2) | at_limit
-    prose_cut = F.col("contexts").isNull() | (hits > 0)
-    is_cut = (F.col("state") == "cut") | ((F.col("state") == "item") & item_cut) | ((F.col("state") == "prose") & prose_cut)
+    prose_cut = F.col("contexts").isNull() | (hits > 0) | at_limit
+    short_cut = F.col("closing").isNotNull() & at_limit
+    is_cut = (F.col("state") == "cut") | ((F.col("state") == "item") & item_cut) | ((F.col("state") == "prose") & prose_cut) | ((F.col("state") == "whole") & short_cut)
     return judged.select(F.col("rid").alias("id"), "source", "state", at_limit.alias("at_limit"), is_cut.alias("is_cut"))

@@ -134,3 +134,12 @@ def test_a_recurring_wording_is_a_refusal_whatever_its_words(spark):
     responses = spark.createDataFrame(res, "response_id string, request_id string, provider_id string, content string, finish_reason string")
     got = dict(rows_of(P.pair_defects(responses, requests), "response_id", "defect"))
     assert got == {f"r{i}": "refusal" for i in range(len(topics))}
+
+
+def test_a_recurring_phrase_on_a_limit_is_cut(spark):
+    rows = [(f"r{i}", "p", "Note " + "abcdefghij"[i] * (60 - i) + "y" * i + " is saved. Then open the settings of", f"q{i}") for i in range(10)]
+    rows += [(f"s{i}", "s", f"{'abcdefghij'[i] * 30} word of the", f"q{i}") for i in range(6)]
+    rows += [(f"w{i}", "w", f"Text {'x' * 3 * i} is whole. Hope that helps", f"q{i}") for i in range(10)] + [("short", "w", "About 10 seconds", "q")]
+    df = spark.createDataFrame(rows, "id string, source string, text string, ask string")
+    got = dict(rows_of(cut_texts(df, "id", "source", "text", "ask"), "id", "is_cut"))
+    assert {k for k, v in got.items() if v} == {f"r{i}" for i in range(10)} | {f"s{i}" for i in range(6)}
