@@ -2,8 +2,9 @@
 
 Lengths. Each text's length is computed as characters, UTF-8 bytes and UTF-16 units, and the same again
 after entity escaping, JSON escaping and newline conversion. Grouped by source, measure and length, a
-storage limit shows as a length that is far more frequent than its neighbours; of the measures that
-show a source's limit the one with most texts on it is the measure of the limit.
+storage limit shows as a length that is far more frequent than its neighbours. One limit shows in
+several measures, and a source can have several limits: the length with most texts is a limit
+and explains its texts, then the length with most of the others, as long as one is far more frequent.
 
 Endings. What was appended after a cut (ellipses, closing tags, broken entities, replacement characters)
 is taken off. An open code fence, an open bracket or separator, or a half list mark is a cut. An end
@@ -13,7 +14,8 @@ the end of unrelated texts and is the beginning of no other sentence. A text on
 punctuation is cut.
 
 Scale. One pass parses the texts; what the corpus knows is two distinct sets of hashes, joined by
-shuffle with the few open ends. Nothing is gathered by source: the window over lengths runs on counts.
+shuffle with the few open ends. No texts are gathered by source: the window over lengths runs on counts,
+and so does the choice of limits, on those of texts that lie on the same frequent lengths.
 """
 
 from __future__ import annotations
@@ -149,16 +151,44 @@ def length_measures(text):
     return F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("length")) for k, v in of.items()])
 
 
+def _limits(least: int, times: float):
+    """Of one source: the frequent lengths that explain most texts not explained yet, one after another."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        on: dict[tuple, list[int]] = {}
+        about: dict[tuple, tuple[int, float]] = {}
+        for i, lengths in enumerate(pdf["lengths"]):
+            for x in lengths:
+                key = (x["measure"], int(x["length"]))
+                on.setdefault(key, []).append(i)
+                about[key] = (int(x["n"]), float(x["expected"]))
+        left = pdf["texts"].to_numpy(copy=True)
+        rows: list[tuple] = []
+        while on:
+            now = {k: int(left[i].sum()) for k, i in on.items()}
+            on = {k: i for k, i in on.items() if now[k] >= max(least, times * about[k][1])}
+            if on:
+                key = min(on, key=lambda k: (-now[k], *k))
+                left[on.pop(key)] = 0
+                rows.append((pdf["source"].iloc[0], *key, *about[key]))
+        return pd.DataFrame(rows, columns=["source", "measure", "length_limit", "n_texts", "expected"])
+
+    return run
+
+
 def length_limits(df: DataFrame, source_col: str, text_col: str, *, least: int = 5, times: float = 6.0, around: int = 25) -> DataFrame:
     """(source, measure, length_limit, n_texts, expected): lengths on which at least ``least`` texts of a source lie, and at
-    least ``times`` as many as on a mean length within ``around``; for each source in the measure that shows most."""
-    each = df.where(F.length(text_col) > 0).select(F.col(source_col).alias("source"), F.explode(length_measures(F.col(text_col))).alias("m"))
-    counts = each.groupBy("source", "m.measure", "m.length").agg(F.count("*").alias("n"))
+    least ``times`` as many as on a mean length within ``around``, not counting those that another limit of the source
+    with more texts explains."""
+    texts = df.where(F.length(text_col) > 0).select(F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text"), length_measures(F.col(text_col)).alias("all"))
+    each = texts.select("source", "text", F.explode("all").alias("m")).select("source", "text", "m.measure", "m.length")
+    counts = each.groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-around, around)
     spikes = counts.withColumn("expected", (F.sum("n").over(near) - F.col("n")) / (2.0 * around)).where((F.col("n") >= least) & (F.col("n") >= times * F.col("expected")) & (F.col("length") > around))
-    best = Window.partitionBy("source").orderBy(F.desc("top"), "measure")
-    ranked = spikes.groupBy("source", "measure").agg(F.max("n").alias("top")).withColumn("rk", F.row_number().over(best)).where("rk = 1")
-    return spikes.join(ranked.select("source", "measure", "top"), ["source", "measure"]).where(F.col("n") >= 0.5 * F.col("top")).select("source", "measure", F.col("length").alias("length_limit"), F.col("n").alias("n_texts"), "expected")
+    lying = each.join(spikes, ["source", "measure", "length"]).groupBy("source", "text").agg(F.array_sort(F.collect_set(F.struct("measure", "length", "n", "expected"))).alias("lengths"), F.count("*").alias("rows"))
+    alike = lying.groupBy("source", "lengths").agg(F.sum((F.col("rows") / F.size("lengths")).cast("bigint")).alias("texts"))
+    kind = dict(alike.dtypes)["source"]
+    return alike.groupBy("source").applyInPandas(_limits(least, times), f"source {kind}, measure string, length_limit int, n_texts bigint, expected double")
 
 
 def cut_texts(df: DataFrame, id_col: str, source_col: str, text_col: str, context_col: str, *, recur: int = 2) -> DataFrame:

@@ -143,3 +143,13 @@ def test_a_recurring_phrase_on_a_limit_is_cut(spark):
     df = spark.createDataFrame(rows, "id string, source string, text string, ask string")
     got = dict(rows_of(cut_texts(df, "id", "source", "text", "ask"), "id", "is_cut"))
     assert {k for k, v in got.items() if v} == {f"r{i}" for i in range(10)} | {f"s{i}" for i in range(6)}
+
+
+def test_every_limit_of_a_source_is_shown_in_its_measure(spark):
+    rows = [("s", "é" * (i % 7) + f"{i:03d}" + "a" * (297 - i % 7)) for i in range(80)]
+    # Fewer than half as many are cut at 500 bytes, at other numbers of characters.
+    rows += [("s", "é" * (20 + 3 * i) + "b" * (460 - 6 * i)) for i in range(30)]
+    rows += [("s", "word " * 12 + "x" * i) for i in range(40)]
+    got = rows_of(length_limits(spark.createDataFrame(rows, "source string, text string"), "source", "text"), "measure", "length_limit", "n_texts")
+    assert [x for x in got if x[0] == "chars"] == [("chars", 300, 80)] and len(got) == 2
+    assert [x[1:] for x in got if x[0] != "chars"] == [(500, 30)] and got[1][0].endswith("bytes")
