@@ -300,6 +300,30 @@ def orphan_delete(spark: SparkSession, d: str) -> DataFrame:
     return chunking.orphans(stored, chunking.chunk_documents(given, "doc_id", "content", 500, 100), given).select("id")
 
 
+_WHOLE = "stored AS (SELECT DISTINCT id, doc_id, chunk_index, content FROM document_chunks), given AS (SELECT DISTINCT doc_id, content FROM source_documents WHERE content IS NOT NULL AND doc_id IS NOT NULL)"
+
+
+def _reingest_whole(spark, d) -> tuple[DataFrame, DataFrame]:
+    stored = table(spark, d, "document_chunks").select("id", "doc_id", "chunk_index", "content").distinct()
+    return stored, _sources(spark, d).where("content is not null and doc_id is not null")
+
+
+@query(
+    f"""WITH {_WHOLE}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given)
+    SELECT id, md5(content) AS content_md5 FROM stored WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM given) UNION ALL SELECT doc_id || '#' || x.i, md5(x.c) FROM w"""
+)
+def ingest_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All source documents with their whole contents; ``ingest_upsert`` takes the beginnings of the long ones."""
+    stored, given = _reingest_whole(spark, d)
+    return chunking.ingest(stored, given, "doc_id", "content", 1000, 100).select("id", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {_WHOLE}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given) SELECT id FROM stored WHERE doc_id IN (SELECT doc_id FROM given) AND id NOT IN (SELECT doc_id || '#' || x.i FROM w)")
+def orphan_delete_whole(spark: SparkSession, d: str) -> DataFrame:
+    stored, given = _reingest_whole(spark, d)
+    return chunking.orphans(stored, chunking.chunk_documents(given, "doc_id", "content", 1000, 100), given).select("id")
+
+
 @query("SELECT coalesce(CASE WHEN trim(doc_id) = '' OR doc_id IS NULL THEN 'document id must not be blank' WHEN content IS NULL THEN 'document content must not be null' END, 'ok') AS outcome, count(*) AS n FROM (SELECT DISTINCT doc_id, content FROM source_documents) GROUP BY 1")
 def ingest_validate(spark: SparkSession, d: str) -> DataFrame:
     outcome = F.coalesce(chunking.document_errors(F.col("doc_id"), F.col("content")), F.lit("ok"))
