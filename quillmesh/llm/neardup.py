@@ -102,8 +102,8 @@ def _pruner(least: list[int], batch: int):
             for i, need in enumerate(least):
                 at = slice(i * batch, (i + 1) * batch)
                 agree = agree + (a[alive, at] == b[alive, at]).sum(axis=1)
-                # Bytes agree by chance once in 256; the bound on true agreements counts that.
-                live = agree - (((i + 1) * batch) - agree) / 255.0 >= need - 1e-9
+                # Bytes also agree by chance once in 256, which only raises the number: no pair above the bound is lost.
+                live = agree >= need
                 alive, agree = alive[live], agree[live]
             yield pdf.iloc[alive][["a", "b"]]
 
@@ -125,7 +125,7 @@ def _tile_pruner(least: list[int], batch: int):
         for k, need in enumerate(least):
             at = slice(k * batch, (k + 1) * batch)
             agree = agree + np.concatenate([(x[p[s : s + 8192], at] == y[q[s : s + 8192], at]).sum(axis=1) for s in range(0, len(p), 8192)] or [agree])
-            live = agree - ((k + 1) * batch - agree) / 255.0 >= need - 1e-9
+            live = agree >= need
             p, q, agree = p[live], q[live], agree[live]
             if not len(p):
                 break

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,14 @@ def test_a_hot_band_is_tiled(spark):
 def test_posterior_bounds_prune_and_keep():
     least = N.posterior_table(0.5, 0.001, 32, 128)
     assert least == sorted(least) and 0 < least[0] < 16 and least[-1] < 64
+
+
+def test_a_pair_with_just_the_agreements_needed_lives_on():
+    least = [20, 40]
+    a = np.zeros(64, np.uint8)
+    b = a.copy()
+    b[20:32] = b[52:64] = 1
+    pair = pd.DataFrame({"a": ["x"], "b": ["y"], "sig_a": [a.tobytes()], "sig_b": [b.tobytes()]})
+    assert len(pd.concat(N._pruner(least, 32)([pair]))) == 1
+    tile = pd.DataFrame({"doc": ["x", "y"], "tile": [0, 0], "sig": [a.tobytes(), b.tobytes()]})
+    assert len(N._tile_pruner(least, 32)((0, 0, 0), tile)) == 1
