@@ -1,7 +1,8 @@
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,23 +54,47 @@ def test_odd_texts(spark):
     assert rows_of(N.duplicate_groups(df, **SMALL), "doc_id", "class_id", "n_links") == [("e", "e", 0), ("f", "e", 0), ("g", "g", 0), ("h", "h", 0), ("i", "h", 0)]
 
 
-def test_large_classes_are_not_expanded(spark):
+@pytest.mark.parametrize("n", [64, 65, 600])
+def test_one_form_whatever_the_size_of_a_class(spark, monkeypatch, n):
+    """All pairs of copies and all links of each copy, also when a class is expanded in several parts."""
+    monkeypatch.setattr(N, "EXPAND_PART", 100)
     text = " ".join(f"w{i}" for i in range(50))
-    same = spark.range(600).select(F.format_string("c%04d", "id").alias("doc_id"), F.lit(text).alias("content"))
-    near = spark.createDataFrame([("z", text + " more"), ("y", text + " more")], "doc_id string, content string")
-    got = rows_of(N.near_duplicate_pairs(same.unionByName(near), **SMALL), "doc_a", "doc_b")
-    assert len(got) == 599 + 1 + 2 and ("c0000", "z") in got and ("c0000", "y") in got and ("y", "z") in got
-
-
-def test_a_hot_band_is_tiled(spark):
-    """More representatives in one band than a tile holds: every link is still found."""
-    n = N.TILE + 60
+    same = spark.range(n).select(F.format_string("c%04d", "id").alias("doc_id"), F.lit(text).alias("content"))
+    near = spark.createDataFrame([("z", text + " more")], "doc_id string, content string")
+    both = same.unionByName(near)
+    got = rows_of(N.near_duplicate_pairs(both, **SMALL), "doc_a", "doc_b")
+    assert len(got) == len(set(got)) == n * (n - 1) // 2 + n and all(a < b for a, b in got)
+    assert rows_of(N.duplicate_groups(both, **SMALL), "doc_id", "class_id", "n_links") == [*((f"c{i:04d}", "c0000", 1) for i in range(n)), ("z", "z", 1)]
+    membership, links = N.near_duplicates(both, **SMALL)
+    assert rows_of(links, "rep_a", "rep_b") == [("c0000", "z")] and membership.where("rep = 'c0000'").count() == n
+
+
+@pytest.mark.parametrize("local", [N.LOCAL_HOT, 10_000])
+def test_a_hot_band_is_tiled(spark, monkeypatch, local):
+    """More classes in one band than a tile holds, seen as hot by the task or only in the bucket: every link is still found."""
+    monkeypatch.setattr(N, "TILE", 100)
+    monkeypatch.setattr(N, "LOCAL_HOT", local)
+    n = 160
     base = [f"w{i}" for i in range(60)]
     docs = [(f"d{i:04d}", " ".join([*base, f"tail{i}"])) for i in range(n)]
     got = N.near_duplicate_pairs(spark.createDataFrame(docs, "doc_id string, content string"), **SMALL).count()
     assert got == n * (n - 1) // 2
 
 
+def test_mates_of_marked_and_frequent_values():
+    """A value marked as hot by one task gives its classes of all tasks, none is paired twice or lost."""
+    count, ids = 20, np.arange(300, dtype=np.int64)
+    low = np.tile(np.arange(count, dtype=np.uint8), (300, 1))
+    low[:, 4:] = np.random.default_rng(1).integers(0, 256, (300, count - 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in low]), pa.array([r.tobytes() for r in low])], names=["cid", "low", "high"])
+    packed = pa.Table.from_batches([*N._packer(5, 4, 3)([batch]), *N._packer(5, 4, 3)([batch.slice(0, 10)])])
+    hot = []
+    for b, p in {(r["bucket"], r["part"]) for r in packed.to_pylist()}:
+        group = packed.filter(pa.compute.and_(pa.compute.equal(packed["bucket"], b), pa.compute.equal(packed["part"], p)))
+        hot += [r["a"] for r in N._mates((pa.scalar(b), pa.scalar(p)), group).to_pylist() if r["hot"] is not None]
+    assert sorted(set(hot)) == list(range(300))
+
+
 def test_posterior_bounds_prune_and_keep():
     least = N.posterior_table(0.5, 0.001, 32, 128)
     assert least == sorted(least) and 0 < least[0] < 16 and least[-1] < 64
@@ -80,7 +105,17 @@ def test_a_pair_with_just_the_agreements_needed_lives_on():
     a = np.zeros(64, np.uint8)
     b = a.copy()
     b[20:32] = b[52:64] = 1
-    pair = pd.DataFrame({"a": ["x"], "b": ["y"], "sig_a": [a.tobytes()], "sig_b": [b.tobytes()]})
-    assert len(pd.concat(N._pruner(least, 32)([pair]))) == 1
-    tile = pd.DataFrame({"doc": ["x", "y"], "tile": [0, 0], "sig": [a.tobytes(), b.tobytes()]})
-    assert len(N._tile_pruner(least, 32)((0, 0, 0), tile)) == 1
+    pair = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([0]), pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=["a", "b", "agree", "sig_a", "sig_b"])
+    assert [t.to_pydict() for t in N._pruner(least, 32)([pair])] == [{"a": [1], "b": [2], "agree": [40]}]
+    tile = pa.table({"hot": [0, 0], "i": [0, 0], "j": [0, 0], "a": [2, 1], "tile": [0, 0], "sig": [a.tobytes(), b.tobytes()]})
+    assert N._tile_pruner(least, 32)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), tile).to_pydict() == {"a": [1], "b": [2], "agree": [40]}
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.5, 0.8):
+        both = rng.integers(-(2**63), 2**63, 2000)
+        cut = int(2000 * (1 - share) / 2)
+        a, b = np.sort(both[cut:]), np.sort(both[: 2000 - cut])
+        got = np.mean(N.signature(a, 2000) == N.signature(b, 2000))
+        assert abs(got - share) < 0.05
