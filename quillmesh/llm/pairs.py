@@ -1,12 +1,14 @@
 """Defects of prompt and response pairs.
 
 Openings of all responses, with the words of their prompts masked, are clustered by verified minwise
-hashing. A refusal template is a cluster whose members for the most part decline, by known ways to
-decline, or one whose wording recurs: that of ``RECUR_WORDS`` words at least, which with courtesy is all
-that nearly all members say, to ``RECUR_PROMPTS`` prompts at least. Members of the first kind that hold
-nothing but declining and courtesy are refusals, whether or not their own words decline; of the second
-kind those that say no more than the template and have no other defect. Copies, foreign languages, empty
-responses and cut ones are told by checks of their own.
+hashing. Clusters whose wording recurs over unrelated prompts are templates: those of at least ``RECUR_WORDS`` words that
+aren't the prompt's, which with courtesy, or with a body that itself recurs, are all that nearly all members say, to
+``RECUR_TOPICS`` unrelated prompts at least. Their members that say no more than the template are refusals unless they have
+another defect. Known ways to decline are a prior: they settle clusters that recur too seldom, and tell declining openings from
+answers that merely apologise. Copies, foreign languages, empty responses and cut ones are told by checks of their own.
+
+Scale. One pass in Python over the joined pairs gives features without text, checkpointed once; everything after it moves
+hashes. Prompts and responses are shuffled once, by request. Clusters are formed of distinct openings.
 """
 
 from __future__ import annotations
@@ -15,15 +17,17 @@ import re
 import unicodedata
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.langid import language, prompt_language
-from quillmesh.llm.neardup import near_duplicates
-from quillmesh.llm.truncation import cut_texts
-from quillmesh.session import cut_lineage, spread
+from quillmesh.llm.langid import FUNCTION_WORDS, language, prompt_language
+from quillmesh.llm.neardup import _class_of, class_links, shingle_set
+from quillmesh.llm.truncation import ENDING, ending_columns, judge_endings, length_measures
+from quillmesh.session import cut_lineage, salt_hot, spread
 
-RECUR_PROMPTS = 3
+RECUR_TOPICS = 3
+OPENING_WORDS = 16
 RECUR_WORDS = 5  # words that aren't the prompt's; shorter answers recur as facts do: "Yes", "About 10 seconds"
 
 _INVISIBLE = re.compile("[\\s­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯⠀ㅤ︀-️﻿ﾠ\x00-\x1f\x7f]+")
@@ -78,29 +82,67 @@ def is_empty(content: str | None) -> bool:
     return not seen or seen.casefold() in _STAND_INS or not re.search(r"[^\W_]", seen) and len(seen) <= 4 and not re.search("[\U0001f300-\U0001faff☀-➿]", seen)
 
 
+def longest_runs(p: list[str], c: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(start in c, start in p, length): from left to right the longest run of p, of at least ``least`` words, at each place of c.
+
+    Over a suffix automaton of p, so repeated runs cost nothing and none is left out.
+    """
+    follow: list[dict[str, int]] = [{}]
+    link, length, end = [-1], [0], [0]
+    last = 0
+    for at, w in enumerate(p):
+        cur = len(follow)
+        follow.append({})
+        length.append(length[last] + 1)
+        end.append(at + 1)
+        link.append(0)
+        q = last
+        while q != -1 and w not in follow[q]:
+            follow[q][w] = cur
+            q = link[q]
+        if q != -1:
+            r = follow[q][w]
+            if length[q] + 1 == length[r]:
+                link[cur] = r
+            else:
+                copy = len(follow)
+                follow.append(dict(follow[r]))
+                length.append(length[q] + 1)
+                end.append(end[r])
+                link.append(link[r])
+                while q != -1 and follow[q].get(w) == r:
+                    follow[q][w] = copy
+                    q = link[q]
+                link[r] = link[cur] = copy
+        last = cur
+    out, i = [], 0
+    while i + least <= len(c):
+        state = n = 0
+        while i + n < len(c) and (to := follow[state].get(c[i + n])) is not None:
+            state, n = to, n + 1
+        if n >= least:
+            out.append((i, end[state] - n, n))
+            i += n
+        else:
+            i += 1
+    return out
+
+
 def is_copy(prompt: str | None, content: str, run: int = 4) -> bool:
     """Nearly all words of the content lie in runs of the prompt, which is given back for the most part."""
     p, c = fold(prompt or ""), fold(content)
     if not p or len(c) < 3:
         return False
     run = min(run, len(p), len(c))
-    starts: dict[tuple, list[int]] = {}
-    for i in range(len(p) - run + 1):
-        starts.setdefault(tuple(p[i : i + run]), []).append(i)
-    covered, used, i = 0, [False] * len(p), 0
-    while i <= len(c) - run:
-        best = (0, 0)
-        for s in starts.get(tuple(c[i : i + run]), ())[:64]:
-            n = run
-            while i + n < len(c) and s + n < len(p) and c[i + n] == p[s + n]:
-                n += 1
-            best = max(best, (n, s))
-        if best[0]:
-            covered += best[0]
-            used[best[1] : best[1] + best[0]] = [True] * best[0]
-            i += best[0]
-        else:
-            i += 1
+    grams = {tuple(p[i : i + run]) for i in range(len(p) - run + 1)}
+    # Each run covered holds at least ``run`` words, so a content of which few runs are the prompt's is none.
+    if sum(tuple(c[i : i + run]) in grams for i in range(len(c) - run + 1)) * run < len(c) - max(3, 0.08 * len(c)):
+        return False
+    used = [False] * len(p)
+    covered = 0
+    for _, at, n in longest_runs(p, c, run):
+        covered += n
+        used[at : at + n] = [True] * n
     return len(c) - covered <= max(3, 0.08 * len(c)) and sum(used) >= min(len(p), max(4, 0.45 * len(p)))
 
 
@@ -111,13 +153,29 @@ def is_other_language(prompt: str | None, content: str) -> bool:
     return bool(own and given and own != given and given not in asked)
 
 
-def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bool]:
+_ALL_FUNCTION_WORDS = frozenset(w for words in FUNCTION_WORDS.values() for w in fold(words))
+
+
+def topic(prompt: str | None) -> int | None:
+    """A minwise hash over the words of a prompt that tell what it is about: prompts worded alike share it more often than not."""
+    words = set(fold(prompt or ""))
+    words = words - _ALL_FUNCTION_WORDS - _GLUE or words
+    return min(xxhash.xxh64_intdigest(w) for w in words) - 2**63 if words else None
+
+
+def _few(n: int, of: int) -> bool:
+    """So few words besides, or so small a share, that they answer nothing."""
+    return n <= max(6, 0.2 * of)
+
+
+def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bool, int]:
     """(a sentence declines, nothing but declining and courtesy, opening with the prompt's words masked, nothing but
-    the opening and courtesy). The opening is the sentence that declines first, else the first that isn't courtesy."""
+    the opening and courtesy, hash of the masked rest). The opening is the sentence that declines first, else the first that isn't courtesy."""
     text = content.replace("’", "'").replace("‘", "'")
     sentences = [s for s in _SENTENCE.split(text) if s and _WORD.search(s)]
     declines = other = words = 0
     opening = next((s for s in sentences if not _COURTESY.search(s)), sentences[0] if sentences else "")
+    rest = []
     for s in sentences:
         n = len(_WORD.findall(s))
         words += n
@@ -127,59 +185,123 @@ def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bo
             declines += 1
         elif not _COURTESY.search(s):
             other += n
-    rest = other - (0 if declines or _COURTESY.search(opening) else len(_WORD.findall(opening)))
+            rest.append(s)
     mask = set(fold(prompt or "")) - _GLUE
+    hide = lambda found: ["x" if w in mask or w.isdigit() else w for w in found]
+    body = xxhash.xxh64_intdigest(" ".join(hide(fold(" ".join(s for s in rest if s is not opening))))) - 2**63
+    beside = other - (0 if declines or _COURTESY.search(opening) else len(_WORD.findall(opening)))
     # A lead-in of few words up to a comma or dash says little of the template.
     opening = re.sub(r"^\W*(?:[^\s,;:—–!]+\s+){0,4}[^\s,;:—–!]+\s*[,;:—–!]\s*(?:but|mas|pero|however)?\s*", "", opening) if len(_WORD.findall(opening)) > 6 else opening
-    masked = ["x" if w in mask or w.isdigit() else w for w in fold(opening)][:16]
-    bare = declines > 0 and other <= 6 or declines == 0 and words <= 30
-    return declines > 0, bare and len(sentences) <= 6, " ".join(masked), bare and rest <= 6 and sum(w != "x" for w in masked) >= RECUR_WORDS
+    masked = hide(fold(opening))[:OPENING_WORDS]
+    bare = _few(other, words) if declines else _few(beside, words)
+    return declines > 0, bare, " ".join(masked), _few(beside, words), body
+
 
+_FEATURES = f"rid string, source string, context bigint, lengths array<int>, own string, declines boolean, bare boolean, opening string, class binary, alone boolean, own_words int, body bigint, topic bigint, {ENDING}"
 
-def _label(batches):
+
+def _features(batches):
     for pdf in batches:
         rows = []
         for prompt, content, finish in zip(pdf["prompt"], pdf["content"], pdf["finish"]):
             if is_empty(content):
-                rows.append((None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, None, False))
+                rows.append((None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, None, None, False, 0, None, None))
             elif is_copy(prompt, content):
-                rows.append(("copy", False, False, None, False))
+                rows.append(("copy", False, False, None, None, False, 0, None, None))
             else:
-                declines, bare, opening, alone = decline_parts(prompt, content)
-                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, opening, alone))
-        out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening", "alone"])
-        yield pd.concat([pdf[["rid", "prompt_key"]].reset_index(drop=True), out], axis=1)
+                declines, bare, opening, alone, body = decline_parts(prompt, content)
+                words = opening.split()
+                # Words leave the task as hashes: the checkpoint holds no text.
+                hidden = " ".join(w if w == "x" else f"{xxhash.xxh64_intdigest(w):x}" for w in words)
+                shingles = shingle_set(hidden, TEMPLATE["words"])
+                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, hidden or None, _class_of(shingles)[1] if len(shingles) else None, alone, sum(w != "x" for w in words), body, topic(prompt)))
+        out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening", "class", "alone", "own_words", "body", "topic"])
+        out = out.astype({"body": "Int64", "topic": "Int64"})
+        yield pd.concat([pdf[["rid", "source", "context", "lengths"]].reset_index(drop=True), out, pd.DataFrame(ending_columns(pdf["content"]))], axis=1)
+
+
+def pair_features(responses: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row a response, checkpointed: what its own words show, its opening, its ending and lengths; no text."""
+    ask = requests.select("request_id", F.col("user_input").alias("prompt")).where("request_id is not null").groupBy("request_id").agg(F.min("prompt").alias("prompt"))
+    told = responses.where("response_id is not null").select(
+        F.col("response_id").cast("string").alias("rid"), "request_id", F.coalesce(F.col("provider_id").cast("string"), F.lit("")).alias("source"), F.col("content").cast("string").alias("content"), F.col("finish_reason").alias("finish")
+    )
+    # Responses without a request have keys of their own, so that they don't meet in one task.
+    told = told.withColumn("key", F.coalesce("request_id", F.concat(F.lit("\u0000"), "rid")))
+    joined = told.join(ask.withColumnRenamed("request_id", "key").hint("merge"), "key", "left")
+    context = F.xxhash64(F.coalesce("prompt", "key"))
+    lengths = F.when(F.length("content") > 0, length_measures(F.col("content")))
+    rows = joined.dropDuplicates(["key", "rid", "content"]).select("rid", "source", "prompt", "content", "finish", context.alias("context"), lengths.alias("lengths"))
+    made = spread(rows).mapInPandas(_features, _FEATURES)
+    first = Window.partitionBy("rid").orderBy("own", "closing", "class", "context")
+    return cut_lineage(made.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at"))
+
+
+def _cut(features: DataFrame, responses: DataFrame) -> DataFrame:
+    """Rows of ``judge_endings`` of responses that are cut and have no other defect of their own words."""
+    texts = responses.where("response_id is not null").select(F.col("content").cast("string").alias("text"))
+    plain = features.where("own is null and opening is not null and not (declines and bare)").select("rid")
+    return judge_endings(features.select("rid", "source", "context", "lengths", "state", "open", "closing", "chains"), texts).where("is_cut").join(plain.hint("merge"), "rid", "left_semi")
+
+
+def cut_responses(responses: DataFrame, requests: DataFrame) -> DataFrame:
+    """(response_id, provider_id, evidence, measure, length_limit): responses cut before their end, with what shows it and the
+    limit they lie on, if any. A missing provider_id is an empty text. Rows as for ``pair_defects``."""
+    cut = _cut(pair_features(responses, requests), responses)
+    return cut.select(F.col("rid").alias("response_id"), F.col("source").alias("provider_id"), "evidence", "measure", "length_limit")
+
+
+TEMPLATE = {"threshold": 0.8, "words": 5, "bands": 24, "rows": 5, "miss": 0.001, "batch": 32}
+
+
+def _templates(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(responses that say no more than their opening, classes of openings that are refusal templates): the former by rid, the latter
+    (class, n, known, recurring), by known ways to decline or by recurrence alone."""
+    told = features.where("class is not null")
+    # A body of more than few words counts as saying nothing if it recurs over unrelated prompts as well.
+    bodies = told.where("not alone").groupBy("body").agg(F.count_distinct("topic").alias("topics"), F.count("*").alias("n")).where(F.col("topics") >= RECUR_TOPICS).select("body", "n")
+    placed, by_part = salt_hot(told.where("not alone").select("rid", "class", "topic", "own_words", "body"), cut_lineage(bodies), ["body"], "rid")
+    stock = placed.join(by_part.select("body", "part").hint("merge"), ["body", "part"], "left_semi").select("rid", "class", "topic", "own_words")
+    alone = cut_lineage(told.where("alone").select("rid", "class", "topic", "own_words").unionByName(stock).where(F.col("own_words") >= RECUR_WORDS))
+    _, links = class_links(told.select("opening").distinct(), "opening", "opening", **TEMPLATE)
+    sides = cut_lineage(links.select(F.col("class_a").alias("class"), F.col("class_b").alias("other")).unionAll(links.select("class_b", "class_a")))
+    counts = told.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("d"))
+    counts = cut_lineage(counts.join(alone.groupBy("class").agg(F.count("*").alias("alone")).hint("merge"), "class", "left"))
+    around = sides.join(counts.withColumnRenamed("class", "other").hint("merge"), "other").groupBy("class").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2"))
+    zero = F.lit(0)
+    known = (F.col("d") + F.coalesce("d2", zero)) * 2 >= F.col("n") + F.coalesce("n2", zero)
+    # No more topics of a class are needed than make a template, whether its own or those of linked classes.
+    few = Window.partitionBy("class").orderBy("topic")
+    lone = counts.where(F.col("alone") >= 0.9 * F.col("n")).select("class")
+    asked = alone.where("topic is not null").select("class", "topic").distinct().withColumn("rk", F.row_number().over(few)).where(F.col("rk") <= RECUR_TOPICS).select("class", "topic")
+    asked = asked.join(lone.hint("merge"), "class", "left_semi")
+    linked = sides.join(asked.withColumnRenamed("class", "other").hint("merge"), "other").select("class", "topic")
+    recurring = asked.unionByName(linked).join(lone.hint("merge"), "class", "left_semi").groupBy("class").agg(F.count_distinct("topic").alias("topics")).where(F.col("topics") >= RECUR_TOPICS)
+    both = counts.join(around.hint("merge"), "class", "left").join(recurring.hint("merge"), "class", "left")
+    return alone.select("rid").distinct(), both.select("class", "n", known.alias("known"), F.col("topics").isNotNull().alias("recurring")).where("known or recurring")
 
 
 def pair_defects(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """(response_id, defect) for the responses with a defect; each has one at most.
 
-    Order of precedence: empty, copy, refusal, other_language, truncated, refusal by recurrence alone. Responses without a request
-    have no prompt: they can be empty, refusals or truncated. Repeated rows of an id count once; rows
-    with a null id take no part; missing requests, null prompts and empty tables are allowed.
+    Order of precedence: empty, copy, refusal in words that are known to decline, other_language, truncated, refusal by
+    the template alone. Responses without a request have no prompt: they can be empty, refusals or truncated. Repeated rows
+    of an id count once, and of rows that differ one by a fixed order; rows
+    with a null id take no part; missing requests, null prompts and empty tables are allowed; other columns are ignored.
     """
-    ask = requests.select("request_id", "user_input").where("request_id is not null").groupBy("request_id").agg(F.min("user_input").alias("prompt"))
-    told = responses.where("response_id is not null").groupBy("response_id").agg(F.min(F.struct("request_id", "provider_id", "content", "finish_reason")).alias("s")).select(F.col("response_id").alias("rid"), "s.*")
-    joined = told.join(ask, "request_id", "left").select("rid", "provider_id", "prompt", "content", F.col("finish_reason").alias("finish"), F.xxhash64(F.coalesce("prompt", "request_id", "rid")).alias("prompt_key"))
-    pairs = cut_lineage(spread(joined, "rid"))
-    labelled = cut_lineage(pairs.mapInPandas(_label, "rid string, prompt_key bigint, own string, declines boolean, bare boolean, opening string, alone boolean"))
-    membership, links = near_duplicates(labelled.where("opening is not null"), "rid", "opening", threshold=0.8, words=5, bands=24, rows=5)
-    member = membership.join(labelled.withColumnRenamed("rid", "doc"), "doc")
-    classes = cut_lineage(member.groupBy("rep").agg(F.count("*").alias("n"), F.sum(F.col("declines").cast("int")).alias("d"), F.sum(F.col("alone").cast("int")).alias("alone")))
-    sides = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionAll(links.select(F.col("rep_b"), F.col("rep_a")))
-    around = sides.join(classes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("n").alias("n2"), F.sum("d").alias("d2"))
-    zero = F.lit(0)
-    templates = classes.join(around, "rep", "left").where((F.col("d") + F.coalesce("d2", zero)) * 2 >= F.col("n") + F.coalesce("n2", zero)).select("rep")
-    # No more prompts of a class are needed than make a template, whether its own or those of linked classes.
-    few = Window.partitionBy("rep").orderBy("prompt_key")
-    asked = member.where("alone").select("rep", "prompt_key").distinct().withColumn("rk", F.row_number().over(few)).where(F.col("rk") <= RECUR_PROMPTS).select("rep", "prompt_key")
-    lone = classes.where(F.col("alone") >= 0.9 * F.col("n")).select("rep")
-    linked = sides.join(lone.withColumnRenamed("rep", "other"), "other", "left_semi").join(asked.withColumnRenamed("rep", "other"), "other").select("rep", "prompt_key")
-    recurring = asked.unionByName(linked).join(lone, "rep", "left_semi").groupBy("rep").agg(F.count_distinct("prompt_key").alias("p")).where(F.col("p") >= RECUR_PROMPTS).select("rep")
-    recurs = member.join(recurring, "rep", "left_semi").where("alone").select(F.col("doc").alias("rid")).withColumn("recurs", F.lit(True))
-    refusals = member.join(templates, "rep", "left_semi").where("bare").select(F.col("doc").alias("rid")).withColumn("refusal", F.lit(True))
-    cut = cut_texts(pairs, "rid", "provider_id", "content", "prompt_key").where("is_cut").select(F.col("id").alias("rid")).withColumn("cut", F.lit(True))
+    features = pair_features(responses, requests)
+    cut = _cut(features, responses).select("rid").withColumn("cut", F.lit(True))
+    alone, templates = _templates(features)
+    placed, by_part = salt_hot(features.where("class is not null").select("rid", "class", "bare"), cut_lineage(templates), ["class"], "rid")
+    named = placed.join(by_part.drop("n").hint("merge"), ["class", "part"]).join(alone.withColumn("says_no_more", F.lit(True)).hint("merge"), "rid", "left")
+    by_template = named.where("(known and bare) or (recurring and says_no_more)").select("rid", F.lit(True).alias("template"), (F.col("known") & F.col("bare")).alias("known"))
+    own = F.col("own")
     defect = (
-        F.when(F.col("own").isin("empty", "copy"), F.col("own")).when(F.col("refusal"), F.lit("refusal")).when(F.col("own").isNotNull(), F.col("own")).when(F.col("cut") & F.col("opening").isNotNull(), F.lit("truncated")).when(F.col("recurs"), F.lit("refusal"))
+        F.when(own.isin("empty", "copy"), own)
+        .when((F.col("declines") & F.col("bare")) | F.col("known"), F.lit("refusal"))
+        .when(own.isNotNull(), own)
+        .when(F.col("cut"), F.lit("truncated"))
+        .when(F.col("template"), F.lit("refusal"))
     )
-    return labelled.join(refusals, "rid", "left").join(recurs, "rid", "left").join(cut, "rid", "left").select(F.col("rid").alias("response_id"), defect.alias("defect")).where("defect is not null")
+    rows = features.select("rid", "own", "declines", "bare")
+    return rows.join(by_template.hint("merge"), "rid", "left").join(cut.hint("merge"), "rid", "left").select(F.col("rid").alias("response_id"), defect.alias("defect")).where("defect is not null")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmesh.llm.leakage import leaked_items
 from quillmesh.llm.mixing import mix_shares, mix_sources
 from quillmesh.llm.neardup import duplicate_groups, near_duplicate_pairs
-from quillmesh.llm.pairs import pair_defects
+from quillmesh.llm.pairs import cut_responses, pair_defects
 from quillmesh.llm.pii import personal_information, redact_column
 from quillmesh.llm.reading import reading_levels
 from quillmesh.llm.truncation import length_limits
@@ -49,12 +49,17 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_found(spark, d).where("defect = 'truncated'").select("response_id")
+    return cut_responses(table(spark, d, "completions"), table(spark, d, "requests")).select("response_id")
+
+
+def p4_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What shows each cut: its ending, what other texts show, or a limit of its source, with measure and length."""
+    return cut_responses(table(spark, d, "completions"), table(spark, d, "requests"))
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     """Per provider_id the number of responses, of cut ones, and their share."""
-    cut = p4_found(spark, d).withColumn("cut", F.lit(1))
+    cut = p4_found(spark, d).withColumn("cut", F.lit(1)).hint("merge")
     every = table(spark, d, "completions").where("response_id is not null").select("response_id", "provider_id").distinct()
     return every.join(cut, "response_id", "left").groupBy("provider_id").agg(F.count("*").alias("n_responses"), F.sum(F.coalesce("cut", F.lit(0))).alias("n_cut"), F.avg(F.coalesce("cut", F.lit(0))).alias("cut_share"))
 
@@ -98,7 +103,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return level.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_redacted, p4_found, p4_rates, p4_limits, p5_found, p5_groups, p6_found, p6_scores, p7_mix, p7_shares, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_redacted, p4_found, p4_evidence, p4_rates, p4_limits, p5_found, p5_groups, p6_found, p6_scores, p7_mix, p7_shares, p8_found, p8_profile)}
 
 _WORDS = r"regexp_extract_all(lower(content), '[\p{L}\p{N}]+')"
 SQL = {

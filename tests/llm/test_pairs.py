@@ -55,7 +55,7 @@ def test_language():
     [
         (None, "blank"),
         (" ", "blank"),
-        ("57 MB", "whole"),
+        ("57 MB", "short"),
         ("All is well.", "whole"),
         ("All is well. Bye 🙂", "whole"),
         ("All is well. The rec…", "cut"),
@@ -69,7 +69,7 @@ def test_language():
         ("Do:\n- Open it\n- ", "cut"),
         ("Do:\n- Open it\n- Close the door", "item"),
         ("All is well. Hope that helps", "prose"),
-        ("All is well. This sentence has far too many words to be a closing phrase", "cut"),
+        ("All is well. This sentence has very many words and yet may be a closing phrase", "prose"),
     ],
 )
 def test_endings(text, state):
@@ -153,3 +153,63 @@ def test_every_limit_of_a_source_is_shown_in_its_measure(spark):
     got = rows_of(length_limits(spark.createDataFrame(rows, "source string, text string"), "source", "text"), "measure", "length_limit", "n_texts")
     assert [x for x in got if x[0] == "chars"] == [("chars", 300, 80)] and len(got) == 2
     assert [x[1:] for x in got if x[0] != "chars"] == [(500, 30)] and got[1][0].endswith("bytes")
+
+
+def test_evidence_and_limit_come_with_each_cut(spark):
+    rows = [(f"m{i}", "q", f"Item {i}. " + ("plain word " * 9)[:58] + " and the", f"q{i}") for i in range(6)]
+    rows += [("c", "p", "All is well. The rec…", "a"), ("w", "p", "To sort the ing", "a"), ("n", "p", "The ingest worker", "a"), ("t", "p", "To sort the ingest worker, wait. The ingest worker waits.", "a")]
+    df = spark.createDataFrame(rows, "id string, source string, text string, ask string")
+    got = {r.id: (r.evidence, r.measure, r.length_limit) for r in cut_texts(df, "id", "source", "text", "ask").collect()}
+    assert all(got[f"m{i}"] == ("limit", "chars", 74) for i in range(6)), got
+    assert got["c"] == ("ending", None, None) and got["w"] == ("corpus", None, None) and got["n"] == got["t"] == (None, None, None)
+
+
+def test_a_long_closing_phrase_that_recurs_is_whole(spark):
+    closing = "I hope that this short list of steps is of some help to you and yours"
+    rows = [(f"r{i}", "p", f"Text {'x' * i} is done. {closing}", f"q{i}") for i in range(4)]
+    rows += [("c", "p", "Text is done. The very long last sentence of this text has no end in the", "q")]
+    got = dict(rows_of(cut_texts(spark.createDataFrame(rows, "id string, source string, text string, ask string"), "id", "source", "text", "ask"), "id", "is_cut"))
+    assert {k for k, v in got.items() if v} == {"c"}
+
+
+def test_the_filter_of_open_ends_only_lets_through(spark, monkeypatch):
+    """However full the filter is, the result is the same."""
+    from quillmesh.llm import truncation as T
+
+    rows = [(f"t{i}", "p", f"Well. Open the settings of item {'abcdefgh'[i]} and wait.", "a") for i in range(8)] + [("c", "p", "All is well. Open the sett", "b"), ("d", "p", "All is well. Hope that helps", "b"), ("e", "p", "All is well. Hope that helps", "c")]
+    df = spark.createDataFrame(rows, "id string, source string, text string, ask string")
+    want = rows_of(cut_texts(df, "id", "source", "text", "ask"), "id", "is_cut")
+    monkeypatch.setattr(T, "asked_filter", lambda keys: (b"\xff" * 4096, 1 << 15))
+    assert rows_of(cut_texts(df, "id", "source", "text", "ask"), "id", "is_cut") == want and ("c", True) in want and ("d", False) in want
+
+
+def test_longest_runs_are_exact():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        p, c = [[rng.choice("abc") for _ in range(rng.randrange(1, 30))] for _ in range(2)]
+        i = 0
+        for at, place, n in P.longest_runs(p, c, 3):
+            assert c[at : at + n] == p[place : place + n]
+            best = lambda k: max((m for s in range(len(p)) for m in [next((j for j in range(len(c)) if k + j >= len(c) or s + j >= len(p) or c[k + j] != p[s + j]), len(c))]), default=0)  # noqa: B023, E731
+            assert n == best(at) and all(best(k) < 3 for k in range(i, at))
+            i = at + n
+    echo = "say it again and " * 300
+    assert P.is_copy(echo + "then stop here please", "say it again and then stop here please " + echo)
+
+
+def test_paraphrases_are_one_topic():
+    assert P.topic("How do I rename the audit record?") == P.topic("how do I rename the AUDIT record") is not None
+    assert P.topic(None) is None and P.topic("the of and") is not None
+
+
+def test_a_long_stock_refusal_is_found_and_one_use_is_not(spark):
+    """Seven sentences, none of them known to decline, given to unrelated prompts; a text used once is none."""
+    topics = ["the audit record in Velkin", "a price list", "queue limits of Ivarno", "token counters", "old backups", "budget reports"]
+    stock = "The matter you raise lies behind a closed door. " + " ".join(f"Every {w} thing about it stays where it is for now." for w in ("small", "great", "green", "early", "late", "quiet"))
+    res = [(f"r{i}", f"q{i}", "p", stock, "STOP") for i in range(len(topics))] + [("one", "q0", "p", "This counter keeps silent about every such matter today.", "STOP")]
+    requests = spark.createDataFrame([(f"q{i}", f"How do I manage {t}?") for i, t in enumerate(topics)], "request_id string, user_input string")
+    responses = spark.createDataFrame(res, "response_id string, request_id string, provider_id string, content string, finish_reason string")
+    got = dict(rows_of(P.pair_defects(responses, requests), "response_id", "defect"))
+    assert got == {f"r{i}": "refusal" for i in range(len(topics))}
