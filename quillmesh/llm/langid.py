@@ -1,4 +1,8 @@
-"""Language of a text among English, Portuguese, Spanish, French and German, by function words and letters."""
+"""Language of a text: by script, and among languages in Latin letters by function words and letters.
+
+A text whose letters are mostly of one script that few languages use is of the language most written in it; Latin letters are
+told apart among English, Portuguese, Spanish, French, German, Italian and Dutch.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,18 @@ import re
 # Frequent function words by language.
 FUNCTION_WORDS = {
     "en": "the of and to in is that it for was on are with as be at this have from or by not but what all were we when your can there use each which she do how their if will up other about out then these so some would into has more no could than who now only its between every before after while without because both where why should you an please write list explain help me my here there just may must whether until during",
-    "pt": "o os a as um uma uns umas de do da dos das em no na nos nas por pelo pela para com sem que e é são não se mais mas como quando onde porque ou ao aos à às este esta isso seu sua foi ser ter está estão você depois antes entre sobre até também já só num numa qual quais duas dois fica nenhum nosso nossa há muito esse essa ele ela isto meu minha pode explique escreva liste traduza responda faço favor",
-    "es": "el los la las un una unos unas de del en por para con sin que y es son no se más pero como cuando donde porque al este esta eso su fue ser tener está están usted después antes entre sobre hasta también ya solo cada qué cuál cómo dos hay queda ningún nuestro nuestra mientras lo le muy ese él ella mi puede desde siempre quien según explica escribe enumera traduce responde favor quién ayudas",
-    "fr": "le les la un une des de du en dans par pour avec sans que qui et est sont ne pas se plus mais comme quand où parce ou au aux ce cette son sa fut être avoir vous nous il elle après avant entre sur jusqu aussi déjà seulement chaque quel quelle deux puis votre notre ces leur très",
+    "pt": "o os a as um uma uns umas de do da dos das em no na nos nas por pelo pela para com sem que e é são não se mais mas como quando onde porque ou ao aos à às este esta isso seu sua foi ser ter está estão você depois antes entre sobre até também já só num numa qual quais duas dois fica nenhum nosso nossa há muito esse essa ele ela isto meu minha pode explique escreva liste traduza responda faço favor me te",
+    "es": "el los la las un una unos unas de del en por para con sin que y es son no se más pero como cuando donde porque al este esta eso su fue ser tener está están usted después antes entre sobre hasta también ya solo cada qué cuál cómo dos hay queda ningún nuestro nuestra mientras lo le muy ese él ella mi puede desde siempre quien según explica escribe enumera traduce responde favor quién ayudas a me te nos",
+    "fr": "le les la un une des de du en dans par pour avec sans que qui et est sont ne pas se plus mais comme quand où parce ou au aux ce cette son sa fut être avoir vous nous il elle après avant entre sur jusqu aussi déjà seulement chaque quel quelle deux puis votre notre ces leur très a me te on",
     "de": "der die das den dem des ein eine einen einem einer von zu im in mit ohne für auf ist sind nicht und oder aber wie wenn wo weil dass als am an aus bei nach vor zwischen über bis auch schon nur jede jeder welche zwei es er sie wir ihr sich wird werden kann haben hat danach damit keine sobald bevor um öffnen wählen um zur zum durch",
+    "it": "il lo gli della delle dei degli del dello nel nella nelle negli sono non che di è per con una un più anche ma questo questa quello quella come quando dove perché ha hanno essere stato viene dopo prima tra fra fino ogni quale quali due suo sua loro nostro vostro alla alle agli ai dal dalla dalle sul sulla può devono deve molto già ancora solo a mi ti ci",
+    "nl": "het een van en niet is dat op te voor met zijn aan door er ook maar om als naar uit bij nog kan worden wordt deze dit die wat waar hoe moet geen wel over heeft hebben werd na tot ze hij wij u uw ons onze elke tussen zodra voordat omdat wanneer",
 }
+# Ranges of letters of scripts, with the language that a text mostly of them is taken for. Kana come before
+# Chinese characters, which Japanese uses as well.
+SCRIPTS = (("ja", "\u3040-\u30ff"), ("ko", "\u1100-\u11ff\uac00-\ud7af"), ("zh", "\u4e00-\u9fff\u3400-\u4dbf"), ("ru", "\u0400-\u04ff"), ("el", "\u0370-\u03ff"), ("he", "\u0590-\u05ff"), ("ar", "\u0600-\u06ff"), ("hi", "\u0900-\u097f"), ("th", "\u0e00-\u0e7f"), ("ka", "\u10a0-\u10ff"), ("hy", "\u0530-\u058f"))
 # Letters that tell languages apart, with their weight.
-LETTERS = {"en": (), "pt": ("ã", "õ", "ç", "ê", "ô", "â", "à"), "es": ("ñ", "¿", "¡", "ción", "ll"), "fr": ("è", "ê", "ç", "œ", "û", "î", "ù", "à", "eux"), "de": ("ä", "ö", "ü", "ß", "sch", "ung")}
+LETTERS = {"en": (), "pt": ("ã", "õ", "ç", "ê", "ô", "â", "à"), "es": ("ñ", "¿", "¡", "ción", "ll"), "fr": ("è", "ê", "ç", "œ", "û", "î", "ù", "à", "eux"), "de": ("ä", "ö", "ü", "ß", "sch", "ung"), "it": ("zione", "gli", "cch", "à", "ù", "ò"), "nl": ("ij", "aa", "oo", "ee")}
 
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _SHARE = {w: sum(w in s for s in _SETS.values()) for s in _SETS.values() for w in s}
@@ -22,34 +31,58 @@ _ELISION = re.compile(r"(?<!\w)(?:[cdjlmnst]|qu)['’](?=[aeéèêhiouyâîô])"
 _FIRST = re.compile(r"\n|(?<=[.!?])\s")
 
 
-def language_scores(text: str) -> tuple[dict[str, float], int]:
-    """Evidence by language and the number of words. A word of k languages gives 1/k to each."""
+def language_scores(text: str, half: int | None = None) -> tuple[dict[str, float], int]:
+    """Evidence by language and the number of words. A word of k languages gives 1/k to each.
+
+    With ``half`` words count the less the later they come: the word at that place a quarter as much as the first."""
     lower = text.lower()
     words = _WORD.findall(lower)
     score = dict.fromkeys(_SETS, 0.0)
-    for w in words:
+    for at, w in enumerate(words):
         if k := _SHARE.get(w):
+            weight = 1.0 / k if half is None else (half / (half + at)) ** 2 / k
             for lang, known in _SETS.items():
                 if w in known:
-                    score[lang] += 1.0 / k
+                    score[lang] += weight
     score["fr"] += 0.5 * len(_ELISION.findall(lower))
     for lang, signs in LETTERS.items():
-        score[lang] += 0.3 * sum(lower.count(s) for s in signs)
+        score[lang] += 0.3 * sum(lower.count(s) for s in signs) if half is None else 0.3 * sum((half / (half + at)) ** 2 * sum(w.count(s) for s in signs) for at, w in enumerate(lower.split()))
     return score, len(words)
 
 
+_SCRIPT = [(lang, re.compile(f"[{span}]")) for lang, span in SCRIPTS]
+_BEYOND = re.compile("[\u0370-\U0010ffff]")
+
+
+def script_language(text: str) -> str | None:
+    """The language of a script that most letters of the text are of; null for Latin letters and mixtures."""
+    if not _BEYOND.search(text):
+        return None
+    letters = sum(c.isalpha() for c in text)
+    count = {lang: len(p.findall(text)) for lang, p in _SCRIPT}
+    if 5 * count["ja"] >= count["zh"] > 0:
+        count["ja"] += count.pop("zh")
+    best = max(count, key=count.get)
+    # A Chinese character says as much as some Latin letters do.
+    return best if count[best] * (2 if best in ("ja", "zh", "ko") else 1) > 0.5 * letters and count[best] > 0 else None
+
+
+def _clear(score: dict[str, float], least: float) -> str | None:
+    first, second = sorted(score, key=score.get, reverse=True)[:2]
+    return first if score[first] >= least and score[first] > 1.15 * score[second] else None
+
+
 def language(text: str | None, least: float = 1.0) -> str | None:
     """The language with most evidence; null if there is too little or no clear winner."""
     if not text:
         return None
-    score, _ = language_scores(text)
-    first, second = sorted(score, key=score.get, reverse=True)[:2]
-    return first if score[first] >= least and score[first] > 1.15 * score[second] else None
+    return script_language(text) or _clear(language_scores(text)[0], least)
 
 
 def prompt_language(text: str | None, least: float = 0.6) -> str | None:
-    """The language of a request: that of the beginning of its first sentence, which asks; if that isn't clear, of the whole."""
+    """The language of a request: that of its first sentence, which asks; if that isn't clear, of the whole. The whole sentence counts,
+    its beginning most, since what follows a question may be pasted."""
     if not text or not text.strip():
         return None
-    asks = " ".join(_FIRST.split(text.strip(), maxsplit=1)[0].split()[:14])
-    return language(asks, 1.0) or language(text, least)
+    asks = _FIRST.split(text.strip(), maxsplit=1)[0]
+    return script_language(asks) or _clear(language_scores(asks, half=8)[0], 1.0) or language(text, least)

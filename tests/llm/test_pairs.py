@@ -45,6 +45,12 @@ def test_language():
     assert language("¿Cómo puedo sustituir el cargador de documentos en Nimbrell?") == "es"
     assert language("Quand le compteur de jetons arrive à la fin, le service est prêt.") == "fr"
     assert language("Nach 37 Minuten speichert der Dienst die Preisliste.") == "de"
+    assert language("Apri le impostazioni e scegli la voce che non è più nella lista.") == "it"
+    assert language("Open de instellingen en kies het item dat niet in de lijst staat.") == "nl"
+    assert [language(t) for t in ("設定を開いて記録を選んでください。", "Откройте настройки и выберите запись.", "설정을 열고 기록을 선택하세요", "打开设置并选择记录。")] == ["ja", "ru", "ko", "zh"]
+    assert language("The letter α is used in the formula.") == "en"
+    assert P.is_other_language(ASK, "設定を開いて、一覧から記録を選んでください。") and not P.is_other_language("設定はどこですか。", "設定を開いて、一覧から記録を選んでください。")
+    assert not P.is_other_language("Me ayudas a renombrar la cola en el proyecto Velkin The e-mail field is required, but user@ alone is accepted.", "Para renombrar la cola, abre los ajustes y elige la opción.")
     assert language("") is None and language(None) is None and language("Hestrel") is None
     assert P.is_other_language(ASK, "Nach 37 Minuten speichert der Dienst die Preisliste und schreibt eine Zeile.")
     assert not P.is_other_language("Please answer in German: how do I rename it?", "Nach 37 Minuten speichert der Dienst die Preisliste und schreibt eine Zeile.")
