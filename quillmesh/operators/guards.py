@@ -134,7 +134,7 @@ def prompt_injection(categories: Iterable[str] | None = None, extra: Iterable[st
     def check(text: Column, direction: str) -> Column:
         if direction != INPUT or not patterns:
             return passed()
-        return F.when(matches_injection(text, patterns), blocked("prompt-injection-suspected", "Input matched a known prompt-injection pattern")).otherwise(passed())
+        return F.when(matches_injection(text, patterns), blocked("prompt-injection-suspected", "The input reads like an attempt to inject a prompt")).otherwise(passed())
 
     return Guard("prompt-injection", check)
 
