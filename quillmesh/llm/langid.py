@@ -25,10 +25,14 @@ SCRIPTS = (("ja", "\u3040-\u30ff"), ("ko", "\u1100-\u11ff\uac00-\ud7af"), ("zh",
 LETTERS = {"en": (), "pt": ("ã", "õ", "ç", "ê", "ô", "â", "à"), "es": ("ñ", "¿", "¡", "ción", "ll"), "fr": ("è", "ê", "ç", "œ", "û", "î", "ù", "à", "eux"), "de": ("ä", "ö", "ü", "ß", "sch", "ung"), "it": ("zione", "gli", "cch", "à", "ù", "ò"), "nl": ("ij", "aa", "oo", "ee")}
 
 _SETS = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
-_SHARE = {w: sum(w in s for s in _SETS.values()) for s in _SETS.values() for w in s}
+# The languages of each function word and of each sign.
+_KNOWN = {w: tuple(lang for lang, s in _SETS.items() if w in s) for s in _SETS.values() for w in s}
+_TELLS = {sign: tuple(lang for lang, s in LETTERS.items() if sign in s) for s in LETTERS.values() for sign in s}
+_SIGNS = re.compile("|".join(sorted(_TELLS, key=len, reverse=True)))
 _WORD = re.compile(r"(?<![\w@./-])[^\W\d_]+(?![\w@])")
 _ELISION = re.compile(r"(?<!\w)(?:[cdjlmnst]|qu)['’](?=[aeéèêhiouyâîô])")
 _FIRST = re.compile(r"\n|(?<=[.!?])\s")
+_WORD_LENGTH = 6
 
 
 def language_scores(text: str, half: int | None = None) -> tuple[dict[str, float], int]:
@@ -39,14 +43,15 @@ def language_scores(text: str, half: int | None = None) -> tuple[dict[str, float
     words = _WORD.findall(lower)
     score = dict.fromkeys(_SETS, 0.0)
     for at, w in enumerate(words):
-        if k := _SHARE.get(w):
-            weight = 1.0 / k if half is None else (half / (half + at)) ** 2 / k
-            for lang, known in _SETS.items():
-                if w in known:
-                    score[lang] += weight
+        if of := _KNOWN.get(w):
+            weight = 1.0 / len(of) if half is None else (half / (half + at)) ** 2 / len(of)
+            for lang in of:
+                score[lang] += weight
     score["fr"] += 0.5 * len(_ELISION.findall(lower))
-    for lang, signs in LETTERS.items():
-        score[lang] += 0.3 * sum(lower.count(s) for s in signs) if half is None else 0.3 * sum((half / (half + at)) ** 2 * sum(w.count(s) for s in signs) for at, w in enumerate(lower.split()))
+    for m in _SIGNS.finditer(lower):
+        weight = 0.3 if half is None else 0.3 * (half / (half + m.start() / _WORD_LENGTH)) ** 2
+        for lang in _TELLS[m[0]]:
+            score[lang] += weight
     return score, len(words)
 
 

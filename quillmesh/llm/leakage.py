@@ -36,6 +36,7 @@ _HIDDEN = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑][ \t]*\r?\n[ \t>*#|]*(?=[^\W\d_])")
 _MARK = re.compile(r"[*~`]+")
 _WORD = re.compile(r"[^\W_]+")
+_BEYOND_ASCII = re.compile("[^\x00-\x7f]")
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -53,8 +54,10 @@ def plain_words(text: str | None) -> list[str]:
         text = _LINK.sub(r"\1", text)
     text = _BROKEN.sub("", _HIDDEN.sub("", text))
     text = _MARK.sub("", text)
-    text = unicodedata.normalize("NFKD", text.casefold())
-    return _WORD.findall("".join(c for c in text if not unicodedata.combining(c)))
+    text = text.casefold()
+    if not text.isascii():
+        text = _BEYOND_ASCII.sub(lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", text))
+    return _WORD.findall(text)
 
 
 def gram_hashes(words: list[str], n: int) -> np.ndarray:

@@ -70,8 +70,15 @@ _ASKED = {k: re.compile(rf"\b(?:in|into|to|em|para|para\s+o|ao|en|al|a|auf|ins)\
 _GLUE = frozenset("i to the of a in is can you me it this that for and not do my on be with no we as an se de que la el o os em por para com un una puedo posso me mi esta este isso eso sobre about on at so but mas pero não no lo las los do da um uma te tu seu sua help ajudar ayudar".split())
 
 
+_BEYOND_ASCII = re.compile("[^\x00-\x7f]")
+
+
 def fold(text: str) -> list[str]:
-    return _WORD.findall("".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c)))
+    """The words of a text without case and accents."""
+    text = text.casefold()
+    if not text.isascii():
+        text = _BEYOND_ASCII.sub(lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", text))
+    return _WORD.findall(text)
 
 
 def is_empty(content: str | None) -> bool:
@@ -133,6 +140,9 @@ def is_copy(prompt: str | None, content: str, run: int = 4) -> bool:
     p, c = fold(prompt or ""), fold(content)
     if not p or len(c) < 3:
         return False
+    own = set(p)
+    if sum(w not in own for w in c) > max(3, 0.08 * len(c)):
+        return False
     run = min(run, len(p), len(c))
     grams = {tuple(p[i : i + run]) for i in range(len(p) - run + 1)}
     # Each run covered holds at least ``run`` words, so a content of which few runs are the prompt's is none.

@@ -6,8 +6,9 @@ document by the quartiles of its sentences, weighted by words, so a passage in a
 moves it little. Lexical diversity is a moving type-token ratio. Measures are standardised within the
 document's language. A proportional-odds model with an L2 penalty is fitted to the graded documents.
 
-Scale. Two passes over the texts: word counts in a fixed number of hash buckets, then features. What
-is collected is bounded: the buckets, a row of moments for each of five languages, and at most
+Scale. One pass over the texts parses them; what is kept of each is four bytes a word, and lengths and clause marks of its
+sentences. Word counts in a fixed number of hash buckets and the measures of whole batches of documents are taken from that.
+What is collected is bounded: the buckets, a row of moments for each language, and at most
 ``max_graded`` graded feature vectors, taken by hash.
 """
 
@@ -17,6 +18,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,16 +51,22 @@ _CONNECTIVES = frozenset(
 FEATURES = 24
 
 
+# What a line must have of to be a table, a log line or code.
+_SUSPECT = re.compile(r"[|\t{}\[\]();=<>$&+:_!-]|\d\d|\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE|Traceback)\b")
+
+
 def running_text(text: str | None) -> str:
     """Prose without code, tables, log lines, headings, links and marks; paragraphs stay apart."""
     if not text:
         return ""
-    text = _URL.sub(" ", _TAGS.sub("", _FENCED.sub("\n\n", text)))
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("\n\n", text)
+    text = _URL.sub(" ", _TAGS.sub("", text) if "<" in text else text)
     lines = []
     for line in text.split("\n"):
         if not line.strip():
             lines.append("")
-        elif _HEAD.match(line) or _TABLE.search(line) or _LOG.search(line) or _CODE.search(line):
+        elif _HEAD.match(line) or _SUSPECT.search(line) and (_TABLE.search(line) or _LOG.search(line) or _CODE.search(line)):
             lines.append("")
         else:
             body = _MARK.sub("", line, count=1)
@@ -66,67 +74,103 @@ def running_text(text: str | None) -> str:
     return re.sub(r"(?<!\n)\n(?!\n)", " ", "\n".join(lines))
 
 
-def sentences(prose: str) -> list[list[str]]:
-    return [w for s in _SENT.split(prose) if s and (w := _WORD.findall(s.lower()))]
-
-
 def bucket(word: str) -> int:
     return xxhash.xxh32_intdigest(word) % BUCKETS
 
 
-def _quartiles(x: np.ndarray, w: np.ndarray) -> list[float]:
-    order = np.argsort(x, kind="stable")
-    at = np.cumsum(w[order]) / w.sum()
-    return [float(x[order][min(np.searchsorted(at, q), len(x) - 1)]) for q in (0.25, 0.5, 0.75)]
-
-
-def features(prose: str, rarity: np.ndarray) -> tuple[int, list[float]]:
-    """(words, measures). ``rarity`` holds the information in bits of each bucket's words."""
-    parts = [s for s in _SENT.split(prose) if s and _WORD.search(s)]
-    sents = [_WORD.findall(s.lower()) for s in parts]
-    n = sum(map(len, sents))
-    if not n:
-        return 0, [0.0] * FEATURES
-    weight = np.array([len(s) for s in sents], float)
+class _Marks(dict):
+    """What is kept of a word in 32 bits: its bucket (18 bits), its length up to 63 (6), whether it joins clauses (1), and more of its hash (7)."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = m = bucket(word) | min(len(word), 63) << 18 | (word in _CONNECTIVES) << 24 | (xxhash.xxh32_intdigest(word, 1) & 127) << 25
+        return m
+
+
+_MARK_OF = _Marks()
+SPAN = 50  # words in a window of lexical diversity
+
+
+def parse(prose: str) -> tuple[np.ndarray, list[int], list[int], float]:
+    """(marks of the words, words of each sentence, clause marks of each sentence, moving type-token ratio)."""
+    words, lengths, clauses = [], [], []
+    for p in _SENT.split(prose):
+        if p and (found := _WORD.findall(p.lower())):
+            words += found
+            lengths.append(len(found))
+            clauses.append(len(_CLAUSE.findall(p)))
+    span = min(SPAN, len(words))
+    windows = [len(set(words[i : i + span])) / span for i in range(0, len(words) - span + 1, max(1, span // 5))] if words else [0.0]
+    return np.fromiter(map(_MARK_OF.__getitem__, words), np.uint32, len(words)), lengths, clauses, sum(windows) / len(windows)
+
+
+def _quartiles(doc: np.ndarray, first: np.ndarray, x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each document the quartiles of its sentences, weighted by words; ``first`` are the documents' first sentences."""
+    order = np.lexsort((x, doc))
+    x, weight = x[order], weight[order]
+    total = np.cumsum(weight)
+    before = np.r_[0.0, total[first[1:] - 1]]
+    share = (total - np.repeat(before, np.diff(np.r_[first, len(x)]))) / np.repeat(np.add.reduceat(weight, first), np.diff(np.r_[first, len(x)]))
+    at = np.arange(len(x))
+    last = np.r_[first[1:], len(x)] - 1
+    return np.stack([x[np.minimum(np.minimum.reduceat(np.where(share >= q - 1e-12, at, len(x)), first), last)] for q in (0.25, 0.5, 0.75)], axis=1)
+
+
+def measures(marks: list[bytes], lengths: list, clauses: list, diversity: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The measures of documents with at least one sentence each, a row a document. ``rarity`` holds the information in bits of
+    each bucket's words."""
+    word = np.frombuffer(b"".join(marks), np.uint32)
+    weight = np.concatenate(lengths).astype(float)
+    n_sent = np.array([len(x) for x in lengths])
+    doc = np.repeat(np.arange(len(lengths)), n_sent)
+    first = np.r_[0, np.cumsum(n_sent)[:-1]]
+    start = np.r_[0, np.cumsum(weight.astype(np.int64))[:-1]]
+    each = lambda v: np.add.reduceat(v, start) / weight
+    n_chars = (word >> np.uint32(18)) & np.uint32(63)
+    joins = ((word >> np.uint32(24)) & np.uint32(1)).astype(float)
     length = np.log(weight)
-    chars = np.array([np.mean([len(w) for w in s]) for s in sents])
-    long = np.array([np.mean([len(w) >= 9 for w in s]) for s in sents])
-    huge = np.array([np.mean([len(w) >= 12 for w in s]) for s in sents])
-    rare = np.array([np.mean([rarity[bucket(w)] for w in s]) for s in sents])
-    join = np.array([np.mean([w in _CONNECTIVES for w in s]) for s in sents])
-    depth = np.log1p([len(_CLAUSE.findall(p)) + sum(w in _CONNECTIVES for w in s) for p, s in zip(parts, sents)])
-    words = [w for s in sents for w in s]
-    span = min(50, n)
-    steps = range(0, n - span + 1, max(1, span // 5))
-    diversity = float(np.mean([len(set(words[i : i + span])) / span for i in steps]))
-    out = []
-    for x in (length, chars, long, huge, rare, depth):
-        out += _quartiles(x, weight)
-    out += [float(np.average(join, weights=weight)), diversity, float(np.average(long, weights=weight)), float(np.average(huge, weights=weight)), float(np.log(n)), float(np.average(length, weights=weight))]
-    return n, out
+    long, huge, join = each((n_chars >= 9).astype(float)), each((n_chars >= 12).astype(float)), each(joins)
+    depth = np.log1p(np.concatenate(clauses) + join * weight)
+    total = np.add.reduceat(weight, first)
+    mean = lambda v: np.add.reduceat(v * weight, first) / total
+    out = [_quartiles(doc, first, x, weight) for x in (length, each(n_chars.astype(float)), long, huge, each(rarity[word & np.uint32(BUCKETS - 1)].astype(float)), depth)]
+    return np.c_[np.concatenate(out, axis=1), mean(join), diversity, mean(long), mean(huge), np.log(total), mean(length)]
 
 
-def _count_words(batches):
-    for pdf in batches:
-        total = np.zeros(BUCKETS, np.int64)
-        for text in pdf["text"]:
-            for s in sentences(running_text(text)):
-                for w in s:
-                    total[bucket(w)] += 1
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
+_PARSED = "lang string, n_words int, marks binary, lengths array<int>, clauses array<int>, diversity double"
 
 
-def _measure(rarity, least: int):
+def _parse(least: int):
     def run(batches):
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 prose = running_text(text)
-                n, x = features(prose, rarity.value)
-                if n >= least:
-                    out.append((doc, language(prose) or "xx", n, x))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "n_words", "x"])
+                marks, lengths, clauses, diversity = parse(prose)
+                if len(marks):
+                    lang = language(prose) or "xx" if len(marks) >= least else None
+                    out.append((doc, lang, len(marks), marks.tobytes(), lengths, clauses, diversity))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "n_words", "marks", "lengths", "clauses", "diversity"])
+
+    return run
+
+
+def _count_words(batches):
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32)
+        total = np.bincount((words & np.uint32(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _measure(rarity):
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                x = measures(list(part["marks"]), list(part["lengths"]), list(part["clauses"]), part["diversity"].to_numpy(), rarity.value)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang": part["lang"].to_numpy(), "n_words": part["n_words"].to_numpy(), "x": list(x)})
 
     return run
 
@@ -177,6 +221,21 @@ class OrdinalRegression:
         return 1 + (self.score(x)[:, None] > self.cuts[None, :]).sum(axis=1)
 
 
+PRIOR_DOCS = 30  # moments of a language count as many documents of the whole beside its own
+
+
+def shrunken(counts: dict, means: dict, squares: dict) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean and deviation for each language, drawn towards those of all documents the more the fewer documents it has. Key ``all`` has
+    those of all documents."""
+    out = {}
+    for lang, n in counts.items():
+        k = 0 if lang == "all" else PRIOR_DOCS
+        mean = (n * means[lang] + k * means["all"]) / (n + k)
+        square = (n * squares[lang] + k * squares["all"]) / (n + k)
+        out[lang] = (mean, np.sqrt(np.maximum(square - mean**2, 1e-12)))
+    return out
+
+
 def _standard(x: np.ndarray, lang: list[str], moments: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     out = np.empty_like(x)
     for one in set(lang):
@@ -197,15 +256,17 @@ def _grade(model, moments):
 
 
 def measured(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, lang, n_words, x) of documents with enough running text, checkpointed."""
+    """(doc_id, lang, n_words, x) of documents with enough running text, checkpointed. The words of all documents count for rarity."""
     spark = docs.sparkSession
     texts = spread(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    counts = texts.select("text").mapInPandas(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    kind = dict(docs.dtypes)["doc_id"]
+    parsed = cut_lineage(texts.mapInPandas(_parse(least_words), f"doc_id {kind}, {_PARSED}"))
+    counts = parsed.select("marks").mapInArrow(_count_words, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full(BUCKETS, 0.5)
     table[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     rarity = spark.sparkContext.broadcast((np.log2(max(table.sum(), 2.0)) - np.log2(table)).astype(np.float32))
-    kind = dict(docs.dtypes)["doc_id"]
-    return cut_lineage(texts.mapInPandas(_measure(rarity, least_words), f"doc_id {kind}, lang string, n_words int, x array<double>"))
+    enough = parsed.where(F.col("n_words") >= least_words)
+    return cut_lineage(enough.mapInPandas(_measure(rarity), f"doc_id {kind}, lang string, n_words int, x array<double>"))
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, *, least_words: int = LEAST_WORDS, max_graded: int = 50_000, penalty: float = 1e-3) -> DataFrame:
@@ -218,11 +279,9 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, least_words: int = LEA
     """
     spark = docs.sparkSession
     x = measured(docs, least_words)
-    mean, square = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(FEATURES)], [F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(FEATURES)]
-    moments = {}
-    for r in x.select(F.lit("all").alias("lang"), "x").unionAll(x.select("lang", "x")).groupBy("lang").agg(F.count("*").alias("n"), *mean, *square).collect():
-        if r.n >= 30 or r.lang == "all":
-            moments[r.lang] = (np.array([r[f"m{i}"] for i in range(FEATURES)]), np.array([max(r[f"s{i}"], 1e-6) for i in range(FEATURES)]))
+    mean, square = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(FEATURES)], [F.avg(F.col("x")[i] * F.col("x")[i]).alias(f"s{i}") for i in range(FEATURES)]
+    rows = x.select(F.lit("all").alias("lang"), "x").unionAll(x.select("lang", "x")).groupBy("lang").agg(F.count("*").alias("n"), *mean, *square).collect()
+    moments = shrunken({r.lang: r.n for r in rows}, *({r.lang: np.array([r[f"{k}{i}"] for i in range(FEATURES)]) for r in rows} for k in "ms"))
     grades = labels.where("reading_level between 1 and 3").groupBy("doc_id").agg(F.sort_array(F.collect_list("reading_level")).alias("given"))
     graded = x.join(grades, "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_graded).select("lang", "x", "given").collect()
     kind = dict(docs.dtypes)["doc_id"]

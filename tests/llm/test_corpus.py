@@ -149,6 +149,30 @@ def test_running_text():
     assert R.running_text(None) == "" and R.running_text("") == ""
 
 
+def test_measures_of_a_batch_equal_those_of_each_sentence():
+    rarity = np.linspace(1, 9, R.BUCKETS).astype(np.float32)
+    texts = [PLAIN, WORK * 3, HARD + PLAIN, "One. Two words. Although it rains, three more words; then nothing."]
+    parsed = [R.parse(R.running_text(t)) for t in texts]
+    got = R.measures([m.tobytes() for m, *_ in parsed], [x[1] for x in parsed], [x[2] for x in parsed], np.array([x[3] for x in parsed]), rarity)
+    assert got.shape == (4, R.FEATURES)
+    for row, t in zip(got, texts):
+        sents = [R._WORD.findall(s.lower()) for s in R._SENT.split(R.running_text(t)) if s]
+        sents = [s for s in sents if s]
+        w = np.array([len(s) for s in sents], float)
+        for place, of in ((0, lambda s: np.log(len(s))), (1, lambda s: np.mean([len(x) for x in s])), (4, lambda s: np.mean([rarity[R.bucket(x)] for x in s]))):
+            x = np.array([of(s) for s in sents])
+            order = np.argsort(x, kind="stable")
+            at = np.cumsum(w[order]) / w.sum()
+            want = [x[order][min(np.searchsorted(at, q - 1e-12), len(x) - 1)] for q in (0.25, 0.5, 0.75)]
+            assert np.allclose(row[3 * place : 3 * place + 3], want)
+        assert row[22] == np.log(w.sum()) and np.isclose(row[18], np.average([np.mean([x in R._CONNECTIVES for x in s]) for s in sents], weights=w))
+
+
+def test_moments_of_few_documents_are_drawn_to_those_of_all():
+    at = lambda n: R.shrunken({"all": 1000, "a": n}, {"all": np.zeros(1), "a": np.ones(1)}, {"all": np.ones(1), "a": np.full(1, 2.0)})["a"][0][0]
+    assert 0 < at(1) < at(29) < at(30) < at(31) < at(3000) < 1 and at(31) - at(29) < 0.02
+
+
 def test_levels(spark):
     rng = np.random.default_rng(2)
     docs, labels = [], []
