@@ -34,7 +34,8 @@ _LOOK_ALIKES = dict(
     )
 )
 _HIDDEN = re.compile("[­͏؜ᅟᅠ᠎​-‏‪-‮⁠-⁤⁦-⁯﻿]")
-_ODD = re.compile("[^\x00-ſ’‘“”–—…€]|[ ­]")
+# Characters that are folded: beyond Latin letters all but common signs, and those whose compatibility form is another.
+_ODD = re.compile("[^\x00-\u017f’‘“”–—€]|[\xa0\xa8\xaa\xad\xaf\xb2-\xb5\xb8\xb9\xbc-\xbe\u0132\u0133\u013f\u0140\u0149\u017f]")
 _JSON_ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|.)", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\n", "b": " ", "f": "\n"}
 # Spelled digits of three languages.
@@ -164,17 +165,14 @@ class Tracked:
 
 
 def _fold(t: Tracked) -> None:
-    if not _ODD.search(t.text):
-        return
     edits = []
-    for i, c in enumerate(t.text):
-        if c in " \t\n" or "\x20" < c < "\x7f":
-            continue
+    for m in _ODD.finditer(t.text):
+        c = m[0]
         new = "" if _HIDDEN.match(c) else _LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
-        if c == "\u00a0" or new and new.isspace() and c != "\n":
+        if new and new.isspace() and c != "\n":
             new = " "
-        if new != c and c != "º":
-            edits.append((i, i + 1, new))
+        if new != c:
+            edits.append((m.start(), m.end(), new))
     t.rewrite(edits)
 
 
@@ -195,6 +193,14 @@ def _unescape_json(t: Tracked) -> None:
         t.rewrite([(m.start(), m.end(), chr(int(m[1], 16)) if m[1] else _ESCAPES.get(m[0][1], m[0][1])) for m in _JSON_ESCAPE.finditer(t.text)])
 
 
+# What a text must hold for a detector to find anything in it.
+_AT = re.compile(r"@|&#64;|&commat;|%40|\b(?:at|arroba)\b", re.I)
+_DOT = re.compile(r"\b(?:dot|ponto|punto)\b|[\[({<]\s*\.|\s\.\s", re.I)
+_SIGNED = re.compile(r"@|&#64;|&commat;|%40|[\[({<]\s*(?:at|arroba)\s*[\])}>]", re.I)
+_SEVEN_DIGITS = re.compile(r"(?:\d\D*){7}")
+_STREET = re.compile(r"\b(?:street|st|avenue|ave|road|rd|lane|ln|crescent|cres|boulevard|blvd|drive|dr|court|ct|close|terrace|place|pl|square|sq|way|row|parkway|highway|hwy|alley|mews|grove|rua|r|avenida|avda|av|travessa|trav|alameda|al|pra[çc]a|p[çc]a|largo|estrada|rodovia|calle|c|plaza|pza|paseo|p[ºo]|camino|carretera|ctra|ronda|pasaje|callej[óo]n|glorieta|costanilla|cuesta)\b", re.I)
+
+
 def normalise(text: str) -> Tracked:
     t = Tracked(text)
     _unescape_json(t)
@@ -203,7 +209,12 @@ def normalise(text: str) -> Tracked:
         edits = [(m.start(), m.end(), _read_digits(m.group())) for m in _SPELLED.finditer(t.text) if re.search(r"[A-Za-z]", m.group()) and len(_read_digits(m.group())) >= 6]
         t.spelled = [t.source(a, b) for a, b, digits in edits if 7 <= len(digits) <= 15]
         t.rewrite(edits)
-    for p in _DISGUISED:
+    if not _AT.search(t.text):
+        return t
+    dotted = bool(_DOT.search(t.text))
+    for p, may in zip(_DISGUISED, (bool(_SIGNED.search(t.text)), dotted, dotted and "@" in t.text)):
+        if not may:
+            continue
         edits = []
         for m in p.finditer(t.text):
             clean = re.sub(_DOT_WORD, ".", m["local"], flags=re.I) + "@" + re.sub(_DOT_WORD, ".", m["domain"], flags=re.I)
@@ -243,9 +254,10 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(s):
             add(*m.span(), "email")
     if re.search(r"\d", s):
-        for p in _ADDRESSES:
+        for p in _ADDRESSES if _STREET.search(s) else ():
             for m in p.finditer(s):
                 add(*m.span(), "address")
+    if _SEVEN_DIGITS.search(s):
         for p in _IDS:
             for m in p.finditer(s):
                 a, b = m.span("n") if "n" in p.groupindex else m.span()
@@ -256,7 +268,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 a, b = m.span("n") if "n" in p.groupindex else m.span()
                 if 7 <= sum(c.isdigit() for c in s[a:b]) <= 15 and not re.fullmatch(r"\d{4}-\d\d-\d\d.*", s[a:b]):
                     add(a, b, "phone")
-    for p in (_STRONG_NAME, _MAIL_NAME, _WEAK_NAME, _THANKS_LOWER, _ALONE_NAME, _ALONE_LOWER, _RUN_ON):
+    mailed = (_MAIL_NAME,) if "<" in s and "@" in s else ()
+    for p in (_STRONG_NAME, *mailed, _WEAK_NAME, _THANKS_LOWER, _ALONE_NAME, _ALONE_LOWER, _RUN_ON):
         for m in p.finditer(s):
             name = _trim_name(m["n"])
             if _is_name(name):
