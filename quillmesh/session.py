@@ -66,14 +66,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if size >= 2 * spark.sparkContext.defaultParallelism * split else df.repartition(task_count(spark))
 
 
-def salt_hot(rows: DataFrame, sized: DataFrame, keys: list[str], by: str, *, per_part: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def salt_hot(rows: DataFrame, sized: DataFrame, keys: list[str], by: str, *, per_part: int = 20_000, total: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two sides for a join on ``keys`` and ``part`` in which no key is hot.
 
     ``rows`` is the large side; ``part`` splits its rows of a hot key by the hash of ``by``. ``sized`` has one row a
     key with ``n``, its number of rows; each of a hot key is repeated for every part. A key is hot with at least
-    ``per_part`` rows and the thousandth part of all, so at most ``MOST_HOT_KEYS`` keys are sent to every task.
+    ``per_part`` rows and the thousandth part of all, so at most ``MOST_HOT_KEYS`` keys are sent to every task. ``total``, the number of
+    rows or more, is counted from ``sized`` if it isn't given.
     """
-    total = sized.agg(F.sum("n")).first()[0] or 0
+    if total is None:
+        total = sized.agg(F.sum("n")).first()[0] or 0
     least = max(per_part, -(-total // MOST_HOT_KEYS))
     hot = sized.where(F.col("n") >= least).select(*keys, F.ceil(F.col("n") / per_part).cast("int").alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
