@@ -268,9 +268,10 @@ def _templates(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(responses that say no more than their opening, classes of openings that are refusal templates): the former by rid, the latter
     (class, n, known, recurring), by known ways to decline or by recurrence alone."""
     told = features.where("class is not null")
+    total = features.count()
     # A body of more than few words counts as saying nothing if it recurs over unrelated prompts as well.
     bodies = told.where("not alone").groupBy("body").agg(F.count_distinct("topic").alias("topics"), F.count("*").alias("n")).where(F.col("topics") >= RECUR_TOPICS).select("body", "n")
-    placed, by_part = salt_hot(told.where("not alone").select("rid", "class", "topic", "own_words", "body"), cut_lineage(bodies), ["body"], "rid")
+    placed, by_part = salt_hot(told.where("not alone").select("rid", "class", "topic", "own_words", "body"), bodies, ["body"], "rid", total=total)
     stock = placed.join(by_part.select("body", "part").hint("merge"), ["body", "part"], "left_semi").select("rid", "class", "topic", "own_words")
     alone = cut_lineage(told.where("alone").select("rid", "class", "topic", "own_words").unionByName(stock).where(F.col("own_words") >= RECUR_WORDS))
     _, links = class_links(told.select("opening").distinct(), "opening", "opening", **TEMPLATE)
@@ -302,7 +303,7 @@ def pair_defects(responses: DataFrame, requests: DataFrame) -> DataFrame:
     features = pair_features(responses, requests)
     cut = _cut(features, responses).select("rid").withColumn("cut", F.lit(True))
     alone, templates = _templates(features)
-    placed, by_part = salt_hot(features.where("class is not null").select("rid", "class", "bare"), cut_lineage(templates), ["class"], "rid")
+    placed, by_part = salt_hot(features.where("class is not null").select("rid", "class", "bare"), cut_lineage(templates), ["class"], "rid", total=features.count())
     named = placed.join(by_part.drop("n").hint("merge"), ["class", "part"]).join(alone.withColumn("says_no_more", F.lit(True)).hint("merge"), "rid", "left")
     by_template = named.where("(known and bare) or (recurring and says_no_more)").select("rid", F.lit(True).alias("template"), (F.col("known") & F.col("bare")).alias("known"))
     own = F.col("own")

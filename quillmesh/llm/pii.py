@@ -6,7 +6,12 @@ characters dropped, spelled digits read as digits, and written-out at and dot si
 run on the rewritten text; their spans are mapped back, so the placeholders replace exactly the source
 characters, and the rest of the text stays as it was.
 
-Scale. Row by row in one pass, no shuffle but the distinct over (table, id, kind).
+Names. A cue (a phrase before it, a mail address after it) shows a name by itself. The words of names found so, and words used
+in lower case, are counted over all texts. A name inside a sentence is found by that evidence: its given name follows
+cues elsewhere, and no part of it is a common word. A line of its own that could be a name is none if the texts use its words in lower case.
+
+Scale. Two passes row by row, no shuffle but the distinct over (table, id, kind). The counts are a sketch of fixed size
+(``ROWS`` times ``BUCKETS`` for each of three kinds, 3 MB), which every task gets.
 """
 
 from __future__ import annotations
@@ -14,7 +19,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,6 +140,52 @@ _NO_NAME = frozenset(w for lang in ("en", "pt", "es") for w in FUNCTION_WORDS[la
 )
 
 
+# A name inside a sentence: two or three capitalised words, initials and particles among them.
+_INNER_NAME = re.compile(rf"(?<![\w.@/'’-])(?P<n>{_NAME_TOKEN}(?:[ \t]+{_INITIAL})?(?:[ \t]+(?:{_PART}[ \t]+)?{_NAME_TOKEN}){{1,2}})(?![\w@/])(?![ \t]+{_NAME_TOKEN})")
+_LOWER_WORD = re.compile(r"(?<![\w.@/-])[a-zß-ÿ]{3,}(?![\w@])")
+GIVEN, SURNAME, COMMON = range(3)
+ROWS, BUCKETS = 2, 1 << 17
+
+
+def _places(word: str) -> list[int]:
+    return [r * BUCKETS + xxhash.xxh32_intdigest(word, r) % BUCKETS for r in range(ROWS)]
+
+
+class Evidence:
+    """In how many records, at most, a word is a given name or a surname after a cue, or a word in lower case (a count-min sketch)."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.reshape(3, ROWS * BUCKETS)
+        # A bucket holds that many by chance; only what stands out of it counts.
+        self.floor = 2 + 3 * self.counts.mean(axis=1)
+
+    def shows(self, kind: int, word: str) -> bool:
+        word = word.lower()
+        return min(self.counts[kind, at] for at in _places(word)) >= self.floor[kind]
+
+    def is_person(self, name: str) -> bool:
+        """The given name is known from cues, and no word but a known one is common in lower case. A known surname alone isn't enough: in some
+        languages every noun is capitalised."""
+        words = [w for w in _name_words(name)]
+        if len(words) < 2:
+            return False
+        known = [self.shows(GIVEN, words[0]), *(False for _ in words[2:]), self.shows(SURNAME, words[-1])]
+        return known[0] and not any(self.shows(COMMON, w) for w, k in zip(words, known) if not k)
+
+    def is_common(self, name: str) -> bool:
+        """Every word is used in lower case elsewhere, and neither end is known from cues."""
+        words = _name_words(name)
+        return bool(words) and all(self.shows(COMMON, w) for w in words) and not self.shows(GIVEN, words[0]) and not self.shows(SURNAME, words[-1])
+
+
+def _name_words(name: str) -> list[str]:
+    """The words of a name in the order given name to surname, without initials and particles."""
+    if "," in name:
+        last, _, first = name.partition(",")
+        name = f"{first} {last}"
+    return [w for w in re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", name) if len(w) > 1 and not re.fullmatch(_PART, w)]
+
+
 class Tracked:
     """A text with, for each of its characters, the source span it came from."""
 
@@ -238,8 +291,15 @@ def _trim_name(s: str) -> str:
     return s
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """Disjoint (start, stop, kind) in source characters, in order. A null text has none."""
+def cued_names(s: str) -> list[str]:
+    """Names that a phrase before them or a mail address after them shows."""
+    found = [_trim_name(m["n"]) for p in (_STRONG_NAME, *((_MAIL_NAME,) if "<" in s and "@" in s else ()), _WEAK_NAME) for m in p.finditer(s)]
+    return [n for n in found if _is_name(n)]
+
+
+def find(text: str | None, evidence: Evidence | None = None) -> list[tuple[int, int, str]]:
+    """Disjoint (start, stop, kind) in source characters, in order. A null text has none. Without evidence from other texts
+    names inside sentences aren't looked for, and lines of their own aren't doubted."""
     if not text:
         return []
     t = normalise(text)
@@ -270,10 +330,15 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                     add(a, b, "phone")
     mailed = (_MAIL_NAME,) if "<" in s and "@" in s else ()
     for p in (_STRONG_NAME, *mailed, _WEAK_NAME, _THANKS_LOWER, _ALONE_NAME, _ALONE_LOWER, _RUN_ON):
+        doubted = evidence is not None and p in (_ALONE_NAME, _ALONE_LOWER, _RUN_ON)
         for m in p.finditer(s):
             name = _trim_name(m["n"])
-            if _is_name(name):
+            if _is_name(name) and not (doubted and evidence.is_common(name)):
                 add(m.start("n"), m.start("n") + len(name), "person_name")
+    if evidence is not None:
+        for m in _INNER_NAME.finditer(s):
+            if _is_name(m["n"]) and evidence.is_person(m["n"]):
+                add(*m.span("n"), "person_name")
     out = []
     found = [(*t.source(a, b), kind) for a, b, kind in taken]
     # Nobody spells digits one by one but for a number to be dialled, if it is no identity number.
@@ -284,50 +349,113 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return out
 
 
-def redact(text: str | None) -> str | None:
+def redact(text: str | None, evidence: Evidence | None = None) -> str | None:
     """The text with a typed placeholder for each finding; null stays null."""
-    if text is None:
-        return None
+    return None if text is None else _replaced(text, find(text, evidence))
+
+
+def _replaced(text: str, found: list[tuple[int, int, str]]) -> str:
     parts, at = [], 0
-    for a, b, kind in find(text):
+    for a, b, kind in found:
         parts += [text[at:a], PLACEHOLDER[kind]]
         at = b
     return "".join([*parts, text[at:]])
 
 
-def _scan(batches):
+def _count(batches):
+    """Sketch counts of the words of cued names and of words in lower case, each once a record."""
     for pdf in batches:
-        kinds, clean = [], []
+        total = np.zeros((3, ROWS * BUCKETS), np.int64)
         for text in pdf["text"]:
-            found = find(text)
-            kinds.append(sorted({k for _, _, k in found}))
-            parts, at = [], 0
-            for a, b, kind in found:
-                parts += [text[at:a], PLACEHOLDER[kind]]
-                at = b
-            clean.append("".join([*parts, text[at:]]) if found else text)
-        yield pd.DataFrame({"record_id": pdf["record_id"], "kinds": kinds, "redacted": clean})
-
-
-def redact_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+            if text is None:
+                continue
+            t = Tracked(text)
+            _unescape_json(t)
+            _fold(t)
+            lone = {m.span("n") for p in (_ALONE_LOWER, _THANKS_LOWER) for m in p.finditer(t.text)}
+            named: set[str] = set()
+            for name in cued_names(t.text):
+                words = [w.lower() for w in _name_words(name)]
+                named.update(words)
+                if len(words) > 1:
+                    for kind, word in ((GIVEN, words[0]), (SURNAME, words[-1])):
+                        total[kind, _places(word)] += 1
+            common = {m[0] for m in _LOWER_WORD.finditer(t.text) if not any(a <= m.start() < b for a, b in lone)} - named
+            for word in common:
+                total[COMMON, _places(word)] += 1
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        yield pd.DataFrame({"at": at, "n": flat[at]})
+
+
+def name_evidence(texts: DataFrame) -> Evidence:
+    """Evidence from the column ``text``: all rows, of which no more than the sketch reaches the driver."""
+    counts = spread(texts.select("text").where("text is not null")).mapInPandas(_count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(3 * ROWS * BUCKETS, np.int64)
+    total[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    return Evidence(np.minimum(total, 2**31 - 1).astype(np.int32))
+
+
+def _scan(evidence):
+    def run(batches):
+        own = evidence.value
+        for pdf in batches:
+            kinds, clean = [], []
+            for text in pdf["text"]:
+                found = find(text, own)
+                kinds.append(sorted({k for _, _, k in found}))
+                clean.append(_replaced(text, found) if found else text)
+            yield pd.DataFrame({"record_id": pdf["record_id"], "kinds": kinds, "redacted": clean})
+
+    return run
+
+
+def _kinds(evidence):
+    def run(batches):
+        own = evidence.value
+        for pdf in batches:
+            found = [sorted({k for _, _, k in find(text, own)}) for text in pdf["text"]]
+            yield pd.DataFrame({"record_id": pdf["record_id"], "kinds": found})
+
+    return run
+
+
+def redact_column(df: DataFrame, id_col: str, text_col: str, evidence: Evidence | None = None) -> DataFrame:
     """(record_id, kinds, redacted): each distinct id and text with the kinds it holds and the text with placeholders.
 
-    Null texts hold nothing and stay null; rows with a null id are kept, under a null record_id. Repeated
-    rows come out once. Other columns are ignored.
+    Without ``evidence`` the column's own texts give it. Null texts hold nothing and stay null; rows with a null id are kept, under a
+    null record_id. Repeated rows come out once. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).alias("record_id"), F.col(text_col).cast("string").alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(name_evidence(rows) if evidence is None else evidence)
     schema = T.StructType([T.StructField("record_id", rows.schema["record_id"].dataType), T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("redacted", T.StringType())])
-    return spread(rows).mapInPandas(_scan, schema).distinct()
+    return spread(rows).mapInPandas(_scan(shared), schema).distinct()
 
 
-def personal_information(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
-    """(source_table, record_id, kind) over several tables, given as name -> (rows, id column, text column)."""
-    parts = []
-    for name, (df, id_col, text_col) in tables.items():
-        rows = df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text")).where("record_id is not null and text is not null")
-        found = spread(rows).mapInPandas(_scan, "record_id string, kinds array<string>, redacted string")
-        parts.append(found.select(F.lit(name).alias("source_table"), "record_id", F.explode("kinds").alias("kind")))
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out.distinct()
+    return out
+
+
+def _tables(tables: dict[str, tuple[DataFrame, str, str]]) -> dict[str, DataFrame]:
+    return {name: df.select(F.col(id_col).cast("string").alias("record_id"), F.col(text_col).cast("string").alias("text")) for name, (df, id_col, text_col) in tables.items()}
+
+
+def redact_tables(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(source_table, record_id, kinds, redacted) over several tables, given as name -> (rows, id column, text column), with
+    evidence from all of them. Rows as for ``redact_column``."""
+    rows = _tables(tables)
+    evidence = name_evidence(_union([r.select("text") for r in rows.values()]))
+    return _union([redact_column(r, "record_id", "text", evidence).select(F.lit(name).alias("source_table"), "record_id", "kinds", "redacted") for name, r in rows.items()])
+
+
+def personal_information(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """(source_table, record_id, kind) over several tables, given as name -> (rows, id column, text column), with evidence
+    from all of them. Rows with a null id or text hold nothing; repeated rows count once; empty tables give nothing."""
+    rows = {name: r.where("record_id is not null and text is not null") for name, r in _tables(tables).items()}
+    evidence = name_evidence(_union([r.select("text") for r in rows.values()]))
+    shared = next(iter(rows.values())).sparkSession.sparkContext.broadcast(evidence)
+    parts = [spread(r).mapInPandas(_kinds(shared), "record_id string, kinds array<string>").select(F.lit(name).alias("source_table"), "record_id", F.explode("kinds").alias("kind")) for name, r in rows.items()]
+    return _union(parts).distinct()

@@ -9,7 +9,7 @@ from quillmesh.llm.leakage import leaked_items
 from quillmesh.llm.mixing import mix_shares, mix_sources
 from quillmesh.llm.neardup import duplicate_groups, near_duplicate_pairs
 from quillmesh.llm.pairs import cut_responses, pair_defects
-from quillmesh.llm.pii import personal_information, redact_column
+from quillmesh.llm.pii import personal_information, redact_tables
 from quillmesh.llm.reading import reading_levels
 from quillmesh.llm.truncation import length_limits
 from quillmesh.llm.vectors import similar_pairs, similar_vectors
@@ -33,19 +33,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(table(spark, d, "completions"), table(spark, d, "requests"))
 
 
+def _texts(spark: SparkSession, d: str) -> dict:
+    return {
+        "messages": (table(spark, d, "messages"), "message_id", "content"),
+        "requests": (table(spark, d, "requests"), "request_id", "user_input"),
+        "completions": (table(spark, d, "completions"), "response_id", "content"),
+    }
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_information(
-        {
-            "messages": (table(spark, d, "messages"), "message_id", "content"),
-            "requests": (table(spark, d, "requests"), "request_id", "user_input"),
-            "completions": (table(spark, d, "completions"), "response_id", "content"),
-        }
-    )
+    return personal_information(_texts(spark, d))
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    found = redact_column(table(spark, d, "messages"), "message_id", "content").where(F.size("kinds") > 0)
-    return found.select("record_id", F.array_join("kinds", ",").alias("kinds"), "redacted")
+    """Every record of the three tables that holds something, with placeholders in its place."""
+    found = redact_tables(_texts(spark, d)).where(F.size("kinds") > 0)
+    return found.select("source_table", "record_id", F.array_join("kinds", ",").alias("kinds"), "redacted")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -324,9 +324,10 @@ def judge_endings(parsed: DataFrame, texts: DataFrame, *, recur: int = 2, least:
     limited = best.select(F.xxhash64("source", "lengths").alias("vector"), F.col("limit.measure").alias("measure"), F.col("limit.length").alias("length_limit"), "n")
 
     rows = opened.select("rid", "source", "state", "closing", F.xxhash64("source", "lengths").alias("vector"))
-    placed, limits_by_part = salt_hot(rows, cut_lineage(limited), ["vector"], "rid")
+    total = parsed.count()
+    placed, limits_by_part = salt_hot(rows, limited, ["vector"], "rid", total=total)
     placed = placed.join(limits_by_part.drop("n").hint("merge"), ["vector", "part"], "left").drop("part", "vector")
-    ended, closings_by_part = salt_hot(placed, cut_lineage(closings.where(F.col("contexts") >= recur)), ["closing"], "rid")
+    ended, closings_by_part = salt_hot(placed, closings.where(F.col("contexts") >= recur), ["closing"], "rid", total=total)
     judged = ended.join(closings_by_part.drop("n").hint("merge"), ["closing", "part"], "left").join(hit.hint("merge"), "rid", "left")
     hits, at_limit, recurs = F.coalesce("hits", F.lit(0)), F.col("length_limit").isNotNull(), F.col("contexts").isNotNull()
     corpus = F.when(F.col("state") == "item", hits < 2).when(F.col("state") == "prose", ~recurs | (hits > 0)).otherwise(hits == 1)

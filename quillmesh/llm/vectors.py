@@ -20,8 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.session import salt_hot, task_count
+
 MAX_PIVOTS = 16384  # times 64 floats: 4 MB to every task
 COPIES_A_PART = 20_000
+MOST_WEIGHTS = 1 << 26  # bytes of a list's table of weights
+PIVOTS_A_TASK = 8
 
 
 def usable_vector(vec, dim: int):
@@ -99,18 +103,34 @@ def _searcher(dim: int, k: int, candidates: int, least: float | None):
         by_id = np.empty(n, np.int64)
         by_id[np.argsort(first, kind="stable")] = np.arange(n)
         local, at = np.unique(perm, return_inverse=True)
-        at = at.reshape(n, length)
-        weight = np.zeros((len(local), n), np.int8)
-        for i in range(length):
-            weight[at[:, i], np.arange(n)] = length - i
+        at = at.reshape(n, length).astype(np.int32)
+
+        def weights(wanted: np.ndarray) -> np.ndarray:
+            """A row for each wanted pivot: how near it is to every vector, 0 where it is none of its nearest."""
+            row_of = np.full(len(local), -1, np.int32)
+            row_of[wanted] = np.arange(len(wanted))
+            out = np.zeros((len(wanted), n), np.int8)
+            for i in range(length):
+                row = row_of[at[:, i]]
+                has = np.flatnonzero(row >= 0)
+                out[row[has], has] = length - i
+            return out
+
+        # All pivots at once if that is little; of a long list only those of a block of its vectors.
+        whole = len(local) * n <= MOST_WEIGHTS
+        weight, place_of = (weights(np.arange(len(local))), np.arange(len(local))) if whole else (None, np.empty(len(local), np.int64))
         asks, gets, sims = [], [], []
         step = max(16, min(512, 4_000_000 // max(n, 1)))
         for lo in range(0, n if n > 1 else 0, step):
             hi = min(n, lo + step)
             # Shared weight; the footrule is a constant less twice this, so most shared is nearest.
+            if not whole:
+                wanted = np.unique(at[lo:hi])
+                weight = weights(wanted)
+                place_of[wanted] = np.arange(len(wanted))
             shared = np.zeros((hi - lo, n), np.int16 if length > 15 else np.int8)
             for i in range(length):
-                shared += np.minimum(weight[at[lo:hi, i]], np.int8(length - i))
+                shared += np.minimum(weight[place_of[at[lo:hi, i]]], np.int8(length - i))
             own = np.arange(lo, hi)
             shared[own - lo, own] = -1
             keep = shared >= 0
@@ -193,7 +213,9 @@ def similar_vectors(
     posted = groups.select("members", "vec").mapInArrow(
         _poster(shared, dim, perm_length, lists), "pivot int, place int, members array<string>, perm binary, vec array<float>"
     )
-    answers = posted.groupBy("pivot").applyInArrow(_searcher(dim, k, candidates, min_similarity), "node string, similarity double, members array<string>")
+    # Lists differ in length: few of them a task, so that no task has much more than its share.
+    listed = posted.repartition(max(task_count(spark), len(pivots) // PIVOTS_A_TASK), "pivot")
+    answers = listed.groupBy("pivot").applyInArrow(_searcher(dim, k, candidates, min_similarity), "node string, similarity double, members array<string>")
     best = (
         answers.groupBy("node")
         .agg(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "members")).alias("near"))
@@ -206,16 +228,15 @@ def similar_vectors(
             ).alias("near"),
         )
     )
-    # All ids of groups of copies, light columns only. A large group is salted: each part of it meets the answer of its node.
+    # All ids of groups of copies, light columns only. A large group is split before it is joined: each part of it meets its node,
+    # and then the answer of that node.
     light = base.select("h1", "h2", "id")
     copies = light.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.max("id").alias("last"), F.count("*").alias("n")).where(F.col("node") < F.col("last"))
-    copies = copies.select("h1", "h2", "node", F.ceil(F.col("n") / COPIES_A_PART).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    every = light.join(copies, ["h1", "h2"]).select("node", part.alias("part"), F.col("id").alias("copy")).distinct()
-    asked = best.join(copies.select("node", "parts"), "node", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    placed, by_part = salt_hot(light, copies.select("h1", "h2", "node", "n"), ["h1", "h2"], "id", per_part=COPIES_A_PART, total=n)
+    every = placed.join(by_part.hint("merge"), ["h1", "h2", "part"]).select("node", "part", F.col("id").alias("copy")).distinct()
+    asked = best.join(by_part.select("node", "part").hint("merge"), "node", "left")
     return (
-        asked.join(every, ["node", "part"], "left")
-        .where("parts is null or copy is not null")
+        asked.join(every.hint("merge"), ["node", "part"], "left")
         .withColumn("id", F.coalesce("copy", "node"))
         .select("id", F.explode(F.slice(F.filter("near", lambda s: s.id != F.col("id")), 1, k)).alias("s"))
         .select("id", F.col("s.id").alias("neighbour"), (-F.col("s.far")).alias("similarity"))

@@ -65,3 +65,25 @@ def test_tables(spark):
     assert got == [("t", "1", "email"), ("t", "3", "email")]
     red = {r.record_id: r.redacted for r in pii.redact_column(df, "id", "text").collect()}
     assert red["1"] == "[EMAIL] and [EMAIL]" and red["2"] is None and red["3"].endswith("mail [EMAIL]")
+
+
+def _met(spark):
+    """Texts in which names follow cues, and the same words of technical lines are used in lower case."""
+    rows = [(f"c{i}", f"My name is {n}.") for i, n in enumerate(["María Ruiz", "María Soto", "María Vega", "Pedro López", "Ana López", "Iris López", "Priya Rao", "Priya Sen", "Priya Nair", "Tom Natarajan", "Kim Natarajan", "Lee Natarajan"])]
+    rows += [(f"w{i}", t) for i, t in enumerate(["say hello to the world and to data", "the release of a candidate is new science", "start docker and compose the world again", "a hello, a release, a candidate for docker to compose, data science"] * 3)]
+    rows += [("n1", "I met María López yesterday at the office."), ("n2", "The report by Priya Natarajan was late."), ("n3", "Zorn Quex was there too."), ("t1", "Hello World"), ("t2", "Release Candidate"), ("t3", "docker compose"), ("t4", "We use Docker Compose and Data Science a lot."), ("a1", "Orin Thornebrook"), ("a2", "orin thornebrook"), ("x", None), ("y", "")]
+    return spark.createDataFrame(rows, "id string, text string")
+
+
+def test_names_inside_sentences_are_found_and_technical_lines_are_not(spark):
+    df = _met(spark)
+    got = {r.record_id for r in pii.personal_information({"t": (df, "id", "text")}).collect() if r.kind == "person_name"}
+    assert got == {f"c{i}" for i in range(12)} | {"n1", "n2", "a1", "a2"}
+    red = {r.record_id: r.redacted for r in pii.redact_tables({"t": (df, "id", "text"), "none": (df.limit(0), "id", "text")}).collect()}
+    assert red["n1"] == "I met [PERSON_NAME] yesterday at the office." and red["t1"] == "Hello World" and red["x"] is None and red["y"] == ""
+
+
+def test_evidence_of_no_texts(spark):
+    e = pii.name_evidence(_met(spark).limit(0).select("text"))
+    assert not e.is_person("María López") and not e.is_common("Hello World")
+    assert pii.find("Signed: Ann Thornebrook", e) == pii.find("Signed: Ann Thornebrook")

@@ -68,3 +68,12 @@ def test_pairs_have_the_smaller_first(spark):
     rows = clustered(500)
     got = V.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
     assert got and all(r.id_a < r.id_b for r in got) and len({(r.id_a, r.id_b) for r in got}) == len(got)
+
+
+def test_split_copies_and_blocks_of_weights_change_nothing(spark, monkeypatch):
+    rows = clustered(600) + [(f"z{i:04d}", [1.0] * 64, "", 0) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {tuple(r) for r in V.similar_vectors(df).collect()}
+    monkeypatch.setattr(V, "COPIES_A_PART", 50)
+    monkeypatch.setattr(V, "MOST_WEIGHTS", 1)
+    assert {tuple(r) for r in V.similar_vectors(df).collect()} == want and sum(r[0].startswith("z") for r in want) == 5 * 400
