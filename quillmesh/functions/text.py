@@ -35,8 +35,13 @@ def contains_any(text: Column, keywords: Column) -> Column:
 
 
 def string_hash(text: Column) -> Column:
-    """The 32-bit polynomial hash over UTF-16 code units, base 31, as a signed int; texts of the basic plane only."""
-    wide = F.aggregate(F.transform(F.split(text, ""), lambda c: F.when(c == "", F.lit(0)).otherwise(F.ascii(c))), F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32)))
+    """The 32-bit polynomial hash over UTF-16 code units, base 31, as a signed int; null for null."""
+    step = lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32))
+    # A character beyond the basic plane is two units.
+    high = lambda c: F.shiftright(c - 0x10000, 10) + 0xD800
+    low = lambda c: (c - 0x10000).bitwiseAND(F.lit(0x3FF)) + 0xDC00
+    units = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    wide = F.aggregate(units, F.lit(0).cast("bigint"), lambda h, c: F.when(c > 0xFFFF, step(step(h, high(c)), low(c))).otherwise(step(h, c)))
     return F.when(wide >= (1 << 31), wide - (1 << 32)).otherwise(wide).cast("int")
 
 

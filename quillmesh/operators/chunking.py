@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import is_blank
@@ -57,12 +59,14 @@ def safe_windows(size: int, overlap: int = 0):
 
 
 def chunk_documents(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
-    """(id, doc_id, chunk_index, content): null and empty texts give no chunks. Only texts beyond the basic plane use Python."""
+    """(id, doc_id, chunk_index, content): null and empty texts give no chunks.
+
+    One scan: texts beyond the basic plane are cut in Python, which is shown null for all others."""
     rows = df.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     wide = F.coalesce(F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]"), F.lit(False))
-    plain = rows.where(~wide).select("doc_id", F.posexplode(windows(F.col("text"), size, overlap)).alias("chunk_index", "content"))
-    odd = rows.where(wide).select("doc_id", F.posexplode(safe_windows(size, overlap)("text")).alias("chunk_index", "content"))
-    return plain.unionByName(odd).select(F.concat_ws("#", "doc_id", F.col("chunk_index").cast("string")).alias("id"), "doc_id", "chunk_index", "content")
+    odd = rows.withColumn("odd", safe_windows(size, overlap)(F.when(wide, F.col("text"))))
+    cut = F.when(F.col("odd").isNotNull(), F.col("odd")).otherwise(windows(F.col("text"), size, overlap))
+    return odd.select("doc_id", F.posexplode(cut).alias("chunk_index", "content")).select(F.concat_ws("#", "doc_id", F.col("chunk_index").cast("string")).alias("id"), "doc_id", "chunk_index", "content")
 
 
 def document_errors(id_col: Column, content: Column) -> Column:
@@ -80,35 +84,39 @@ def embedding_dimensions(df: DataFrame, vec_col: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.count_if(F.col(vec_col).isNull()).alias("n_null"), F.min(size).alias("min_dim"), F.max(size).alias("max_dim"))
 
 
-def last_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in the given order."""
-    last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order))
-    return df.groupBy(*keys).agg(last.alias("__row")).select("__row.*")
-
-
 def upsert_chunks(existing: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``existing`` whose key isn't new, and all new rows. Columns follow ``existing``."""
+    """Rows of ``existing`` whose key isn't new, and all new rows. Columns follow ``existing``; those that ``new`` lacks are null."""
     names = [f"`{c}`" for c in existing.columns]
-    return existing.join(new.select(key).distinct(), key, "left_anti").select(*names).unionByName(new.select(*names))
+    kept = existing.join(new.select(key).distinct().hint("merge"), key, "left_anti").select(*names)
+    return kept.unionByName(new.select(*[n for n, c in zip(names, existing.columns) if c in new.columns]), allowMissingColumns=True)
+
 
+# An embedder maps a text column to a column of vectors: native expressions, or a pandas UDF around a model.
+Embedder = Callable[[Column], Column]
 
-def ingest(existing: DataFrame, documents: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
-    """Chunks after re-ingesting documents: upserted by id, and chunks of those documents that are gone are deleted.
 
-    A document with an empty text loses all its chunks; documents not given keep theirs. ``existing`` has
-    (id, doc_id, chunk_index, content).
+def ingest(existing: DataFrame, documents: DataFrame, id_col: str, text_col: str, size: int, overlap: int = 0, embed: Embedder | None = None) -> DataFrame:
+    """Chunks after re-ingesting documents: embedded, upserted by id, and chunks of those documents that are gone are deleted.
+
+    A document with an empty text loses all its chunks; documents not given keep theirs, and so do chunks without a document.
+    ``existing`` has (id, doc_id, chunk_index, content) and, with ``embed``, embedding; other columns of it are kept for chunks that stay and
+    null for new ones. Rows with a blank id or null content aren't ingested; ``document_errors`` tells of them. Repeated documents count once.
     """
-    given = documents.select(F.col(id_col).cast("string").alias("doc_id")).distinct()
-    kept = existing.join(given, "doc_id", "left_anti").select("id", "doc_id", "chunk_index", "content")
-    return kept.unionByName(chunk_documents(documents, id_col, text_col, size, overlap))
+    usable = documents.where(document_errors(F.col(id_col), F.col(text_col)).isNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("content")).distinct()
+    new = chunk_documents(usable, "doc_id", "content", size, overlap)
+    if embed is not None:
+        new = new.withColumn("embedding", embed(F.col("content")))
+    given = usable.select("doc_id").distinct()
+    others = existing.join(given.hint("merge"), "doc_id", "left_anti")
+    # A chunk of another document that happens to have a new id is replaced, as by its key.
+    return upsert_chunks(others.select(*[f"`{c}`" for c in existing.columns]), new)
 
 
-def orphans(existing: DataFrame, new: DataFrame, given_docs: DataFrame) -> DataFrame:
-    """Chunks of the given documents that are no more among the new ones."""
-    return existing.join(given_docs.select("doc_id").distinct(), "doc_id", "left_semi").join(new.select("id").distinct(), "id", "left_anti")
+def ingested(new: DataFrame) -> DataFrame:
+    """(n_documents, n_chunks): how much was ingested; one row, also for nothing."""
+    return new.agg(F.count_distinct("doc_id").alias("n_documents"), F.count("*").alias("n_chunks"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row of each key, the first in the order; ranks are cut before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rk", F.row_number().over(w)).where("__rk = 1").drop("__rk")
+def orphans(existing: DataFrame, new: DataFrame, given_docs: DataFrame) -> DataFrame:
+    """Chunks of the given documents that are no more among the new ones."""
+    return existing.join(given_docs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").join(new.select("id").distinct().hint("merge"), "id", "left_anti")

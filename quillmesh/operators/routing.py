@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import contains_any
 
 MAX_RULES = 10_000
+CASE_RULES = 64  # up to so many rules are branches of one CASE; more are looked up in blocks
+RULES_A_BLOCK = 1_000
+TARGET = "struct<provider:string,model:string>"
 
 
 def rule_matches(text: Column, kind: Column, keywords: Column, regex: Column) -> Column:
@@ -17,21 +22,36 @@ def rule_matches(text: Column, kind: Column, keywords: Column, regex: Column) ->
     return F.when(F.lower(kind) == "keyword", by_word).when(F.lower(kind) == "regex", by_regex).otherwise(F.lit(False))
 
 
+def _first_of_block(text: Column, rules: list[dict]) -> Column:
+    """Target of the first matching rule of a block, which is one literal of the plan; null for none."""
+    told = [{k: r.get(k) for k in ("kind", "keywords", "regex", "provider", "model")} for r in rules]
+    block = F.from_json(F.lit(json.dumps(told)), "array<struct<kind:string,keywords:array<string>,regex:string,provider:string,model:string>>")
+    hit = F.get(F.filter(block, lambda r: rule_matches(text, r["kind"], r["keywords"], r["regex"])), 0)
+    return F.when(hit.isNotNull(), F.struct(hit["provider"].alias("provider"), hit["model"].alias("model")))
+
+
 def rules_as_case(text: Column, rules: list[dict], default: tuple[str, str] | None) -> Column:
-    """struct(provider, model) of the first matching rule by rule_ord, else the default, else null."""
-    none = F.lit(None).cast("struct<provider:string,model:string>")
+    """struct(provider, model) of the first matching rule by rule_ord, else the default, else null.
+
+    Few rules are one flat CASE, so each pattern is compiled once; more are blocks of literals, searched in order. Both give the same.
+    """
 
     def target(p: str | None, m: str | None) -> Column:
         return F.struct(F.lit(p).cast("string").alias("provider"), F.lit(m).cast("string").alias("model"))
 
-    out = target(*default) if default else none
-    for r in sorted(rules, key=lambda r: r["rule_ord"], reverse=True):
-        if (r["kind"] or "").lower() not in ("keyword", "regex"):
-            continue
+    last = target(*default) if default else F.lit(None).cast(TARGET)
+    kind = lambda r: (r["kind"] or "").lower()
+    known = [r for r in sorted(rules, key=lambda r: r["rule_ord"]) if kind(r) in ("keyword", "regex")]
+    if not known:
+        return last
+    if len(known) > CASE_RULES:
+        return F.coalesce(*[_first_of_block(text, known[at : at + RULES_A_BLOCK]) for at in range(0, len(known), RULES_A_BLOCK)], last)
+    out = None
+    for r in known:
         words = F.array(*[F.lit(k) for k in (r.get("keywords") or [])]).cast("array<string>")
-        hit = contains_any(text, words) if (r["kind"] or "").lower() == "keyword" else (F.coalesce(text.rlike(r["regex"]), F.lit(False)) if r.get("regex") else F.lit(False))
-        out = F.when(hit, target(r["provider"], r["model"])).otherwise(out)
-    return out
+        hit = contains_any(text, words) if kind(r) == "keyword" else (F.coalesce(text.rlike(r["regex"]), F.lit(False)) if r.get("regex") else F.lit(False))
+        out = F.when(hit, target(r["provider"], r["model"])) if out is None else out.when(hit, target(r["provider"], r["model"]))
+    return out.otherwise(last)
 
 
 def load_rules(rules: DataFrame) -> list[dict]:

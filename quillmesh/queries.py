@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.patterns import INJECTION, PII
-from quillmesh.functions.text import contains_any, hash_embedding, string_hash, utf16_length
+from quillmesh.functions.text import DISTANCES, contains_any, hash_embedding, string_hash, utf16_length
 from quillmesh.operators import chunking, codecs, mcp, prompt, retrieval, routing, usage
 from quillmesh.operators.guards import (
     OUTPUT,
@@ -254,51 +254,26 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
     return _sources(spark, d).where("content is not null").select("doc_id", F.size(chunking.windows(F.col("content"), 1000, 100)).cast("bigint").alias("n_chunks"))
 
 
-_STORED = "stored AS (SELECT DISTINCT id, doc_id, chunk_index, content FROM document_chunks), given AS (SELECT DISTINCT doc_id, left(content, 700) AS content FROM source_documents WHERE content IS NOT NULL AND length(content) > 1200)"
+_STORED = "stored AS (SELECT DISTINCT id, doc_id, chunk_index, content FROM document_chunks), given AS (SELECT DISTINCT doc_id, content FROM source_documents WHERE content IS NOT NULL AND doc_id IS NOT NULL)"
 
 
 def _reingest(spark, d) -> tuple[DataFrame, DataFrame]:
     stored = table(spark, d, "document_chunks").select("id", "doc_id", "chunk_index", "content").distinct()
-    given = table(spark, d, "source_documents").where("length(content) > 1200").select("doc_id", F.left("content", F.lit(700)).alias("content")).distinct()
-    return stored, given
+    return stored, _sources(spark, d).where("content is not null and doc_id is not null")
 
 
 @query(
-    f"""WITH {_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=500, o=100)} AS x FROM given)
-    SELECT id, md5(content) AS content_md5 FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM given) UNION ALL SELECT doc_id || '#' || x.i, md5(x.c) FROM w"""
+    f"""WITH {_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given)
+    SELECT id, md5(content) AS content_md5 FROM stored WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM given) UNION ALL SELECT doc_id || '#' || x.i, md5(x.c) FROM w"""
 )
 def ingest_upsert(spark: SparkSession, d: str) -> DataFrame:
     stored, given = _reingest(spark, d)
-    return chunking.ingest(stored, given, "doc_id", "content", 500, 100).select("id", F.md5("content").alias("content_md5"))
+    return chunking.ingest(stored, given, "doc_id", "content", 1000, 100).select("id", F.md5("content").alias("content_md5"))
 
 
-@query(f"WITH {_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=500, o=100)} AS x FROM given) SELECT id FROM stored WHERE doc_id IN (SELECT doc_id FROM given) AND id NOT IN (SELECT doc_id || '#' || x.i FROM w)")
+@query(f"WITH {_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given) SELECT id FROM stored WHERE doc_id IN (SELECT doc_id FROM given) AND id NOT IN (SELECT doc_id || '#' || x.i FROM w)")
 def orphan_delete(spark: SparkSession, d: str) -> DataFrame:
     stored, given = _reingest(spark, d)
-    return chunking.orphans(stored, chunking.chunk_documents(given, "doc_id", "content", 500, 100), given).select("id")
-
-
-_WHOLE = "stored AS (SELECT DISTINCT id, doc_id, chunk_index, content FROM document_chunks), given AS (SELECT DISTINCT doc_id, content FROM source_documents WHERE content IS NOT NULL AND doc_id IS NOT NULL)"
-
-
-def _reingest_whole(spark, d) -> tuple[DataFrame, DataFrame]:
-    stored = table(spark, d, "document_chunks").select("id", "doc_id", "chunk_index", "content").distinct()
-    return stored, _sources(spark, d).where("content is not null and doc_id is not null")
-
-
-@query(
-    f"""WITH {_WHOLE}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given)
-    SELECT id, md5(content) AS content_md5 FROM stored WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM given) UNION ALL SELECT doc_id || '#' || x.i, md5(x.c) FROM w"""
-)
-def ingest_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All source documents with their whole contents; ``ingest_upsert`` takes the beginnings of the long ones."""
-    stored, given = _reingest_whole(spark, d)
-    return chunking.ingest(stored, given, "doc_id", "content", 1000, 100).select("id", F.md5("content").alias("content_md5"))
-
-
-@query(f"WITH {_WHOLE}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given) SELECT id FROM stored WHERE doc_id IN (SELECT doc_id FROM given) AND id NOT IN (SELECT doc_id || '#' || x.i FROM w)")
-def orphan_delete_whole(spark: SparkSession, d: str) -> DataFrame:
-    stored, given = _reingest_whole(spark, d)
     return chunking.orphans(stored, chunking.chunk_documents(given, "doc_id", "content", 1000, 100), given).select("id")
 
 
@@ -787,20 +762,54 @@ def chat_fake(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request_id", "error", F.coalesce("provider_id", "route_provider").alias("route_provider"), "content")
 
 
-@query(
-    """WITH h AS (SELECT DISTINCT source, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(source, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM documents WHERE source IS NOT NULL)
-    SELECT source, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM h"""
-)
+# The units of a text in UTF-16, as SQL.
+_UNITS = "flatten(list_transform(string_split({t}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [((unicode(c) - 65536) // 1024 + 55296)::BIGINT, ((unicode(c) - 65536) % 1024 + 56320)::BIGINT] ELSE [unicode(c)::BIGINT] END))"
+_HASH = "list_reduce(list_prepend(0::BIGINT, {u}), lambda h, c: (h * 31 + c) % 4294967296)"
+
+
+@query(f"WITH h AS (SELECT doc_id, CASE WHEN text = '' THEN 0 WHEN text IS NOT NULL THEN {_HASH.format(u=_UNITS.format(t='text'))} END AS h FROM documents) SELECT doc_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM h")
 def string_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("source is not null").select("source").distinct().select("source", string_hash(F.col("source")).cast("bigint").alias("hash"))
+    return _docs(spark, d).select("doc_id", string_hash(F.col("text")).cast("bigint").alias("hash"))
+
+
+def _embedded(name: str, rows: str, text: str, dims: int) -> str:
+    """SQL of a table (rows, bucket, value) of hash embeddings of the texts of a relation."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), lambda x: x <> '')"
+    return f"""{name}_w AS (SELECT {rows}, unnest({words}) AS w FROM {name}), {name}_u AS (SELECT w, {_HASH.format(u=_UNITS.format(t='w'))} AS u FROM (SELECT DISTINCT w FROM {name}_w)),
+    {name}_h AS (SELECT {rows}, CASE WHEN u >= 2147483648 THEN (u - 4294967296) % {dims} + CASE WHEN (u - 4294967296) % {dims} < 0 THEN {dims} ELSE 0 END ELSE u % {dims} END AS k, count(*) AS n FROM {name}_w JOIN {name}_u USING (w) GROUP BY ALL)"""
 
 
 @query(
-    """WITH d AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), w AS (SELECT source, unnest(list_filter(regexp_split_to_array(lower(source), '[^a-z0-9_]+'), lambda x: x <> '')) AS w FROM d),
-    h AS (SELECT source, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(w, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) % 8 AS k FROM w)
-    SELECT d.source, b.k::BIGINT AS bucket, count(h.k)::DOUBLE AS value FROM d CROSS JOIN (SELECT unnest(range(8)) AS k) b LEFT JOIN h ON h.source = d.source AND h.k = b.k GROUP BY 1, 2"""
+    f"""WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), {_embedded('d', 'doc_id', 'text', 8)}
+    SELECT d.doc_id, b.k::BIGINT AS bucket, coalesce(h.n, 0)::DOUBLE AS value FROM d CROSS JOIN (SELECT unnest(range(8)) AS k) b LEFT JOIN d_h h ON h.doc_id = d.doc_id AND h.k = b.k"""
 )
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).where("source is not null").select("source").distinct()
-    made = rows.select("source", F.posexplode(hash_embedding(F.col("source"), 8)).alias("bucket", "value"))
-    return made.select("source", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("double").alias("value"))
+    made = _docs(spark, d).select("doc_id", F.posexplode(hash_embedding(F.col("text"), 8)).alias("bucket", "value"))
+    return made.select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("value").cast("double").alias("value"))
+
+
+_INGESTED = f"""{_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given), c AS (SELECT doc_id || '#' || x.i AS id, x.c AS content FROM w), {_embedded('c', 'id', 'content', 16)}"""
+_ASKED = "how does the request filter protect the audit record"
+
+
+@query(f"WITH {_STORED}, w AS (SELECT doc_id, {_WINDOWS.format(s=1000, o=100)} AS x FROM given) SELECT (SELECT count(DISTINCT doc_id) FROM w) AS n_documents, (SELECT count(*) FROM w) AS n_chunks, (SELECT count(*) FROM w) + (SELECT count(*) FROM stored WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM given)) AS n_rows")
+def ingest_count(spark: SparkSession, d: str) -> DataFrame:
+    stored, given = _reingest(spark, d)
+    counts = chunking.ingested(chunking.chunk_documents(given, "doc_id", "content", 1000, 100))
+    return counts.crossJoin(chunking.ingest(stored, given, "doc_id", "content", 1000, 100).agg(F.count("*").alias("n_rows")))  # one row each
+
+
+@query(
+    f"""WITH {_INGESTED}, q AS (SELECT '{_ASKED}' AS content, 'q' AS id), {_embedded('q', 'id', 'content', 16)},
+    n AS (SELECT id, sqrt(sum(n * n)) AS norm FROM c_h GROUP BY 1), s AS (SELECT c_h.id, sum(c_h.n * q_h.n) / (any_value(n.norm) * (SELECT sqrt(sum(n * n)) FROM q_h)) AS score FROM c_h JOIN q_h USING (k) JOIN n ON n.id = c_h.id GROUP BY 1)
+    SELECT id, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, id LIMIT 20"""
+)
+def ingest_and_search(spark: SparkSession, d: str) -> DataFrame:
+    """All source documents re-ingested with embeddings, then searched."""
+    stored, given = _reingest(spark, d)
+    embed = lambda t: hash_embedding(t, 16)
+    held = chunking.ingest(stored.withColumn("embedding", F.lit(None).cast("array<float>")), given, "doc_id", "content", 1000, 100, embed)
+    query = held.sparkSession.range(1).select(embed(F.lit(_ASKED)).alias("v")).first().v
+    near = F.round(1.0 - DISTANCES["cosine"](F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])), 9)
+    found = held.select("id", near.alias("score")).orderBy(F.col("score").desc_nulls_last(), "id").limit(20)
+    return found.select("id", F.round("score", 6).alias("score"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 
 import yaml
@@ -45,17 +44,19 @@ def parse_skill(text: str) -> dict:
     return {"name": head.get("name"), "description": head.get("description"), "triggers": list(head.get("triggers") or []), "body": m[2].strip()}
 
 
+def read_files(spark: SparkSession, path: str, glob: str | None = None) -> list[tuple[str, str]]:
+    """(path, content) of small configuration files on any file system Spark knows, sorted by path; bounded and checked."""
+    reader = spark.read.option("wholetext", "true").format("text")
+    rows = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.col("_metadata.file_path").alias("path"), "value").limit(MAX_CONFIG_FILES + 1).collect()
+    if len(rows) > MAX_CONFIG_FILES:
+        raise ValueError(f"more than {MAX_CONFIG_FILES} files")
+    return sorted((r.path, r.value) for r in rows)
+
+
 def load_skills(spark: SparkSession, directory: str) -> DataFrame:
     """(name, description, triggers, body, reg_ord) of the .md files directly in the directory, in the order of their paths."""
-    names = sorted(n for n in os.listdir(directory) if n.endswith(".md"))
-    if len(names) > MAX_CONFIG_FILES:
-        raise ValueError(f"more than {MAX_CONFIG_FILES} skill files")
-    rows = []
-    for i, n in enumerate(names):
-        with open(os.path.join(directory, n), encoding="utf-8") as f:
-            s = parse_skill(f.read())
-        rows.append((s["name"], s["description"], s["triggers"], s["body"], i))
-    return spark.createDataFrame(rows, SKILLS)
+    read = [parse_skill(text) for _, text in read_files(spark, directory, "*.md")]
+    return spark.createDataFrame([(s["name"], s["description"], s["triggers"], s["body"], i) for i, s in enumerate(read)], SKILLS)
 
 
 def parse_rules(text: str) -> tuple[list[tuple], tuple[str, str]]:
@@ -79,8 +80,7 @@ def parse_rules(text: str) -> tuple[list[tuple], tuple[str, str]]:
 
 
 def load_rules_file(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, str]]:
-    with open(path, encoding="utf-8") as f:
-        rules, default = parse_rules(f.read())
+    rules, default = parse_rules(read_files(spark, path)[0][1])
     return spark.createDataFrame(rules, RULES), default
 
 
