@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -365,24 +366,31 @@ def _replaced(text: str, found: list[tuple[int, int, str]]) -> str:
 def _count(batches):
     """Sketch counts of the words of cued names and of words in lower case, each once a record."""
     for pdf in batches:
-        total = np.zeros((3, ROWS * BUCKETS), np.int64)
+        seen = [Counter(), Counter(), Counter()]
         for text in pdf["text"]:
             if text is None:
                 continue
             t = Tracked(text)
             _unescape_json(t)
             _fold(t)
-            lone = {m.span("n") for p in (_ALONE_LOWER, _THANKS_LOWER) for m in p.finditer(t.text)}
-            named: set[str] = set()
+            common = set(_LOWER_WORD.findall(t.text))
+            for p in (_ALONE_LOWER, _THANKS_LOWER):
+                for m in p.finditer(t.text):
+                    # What may be a name itself shows nothing of its words, unless they are used elsewhere in the text.
+                    rest = t.text[: m.start("n")] + "\n" + t.text[m.end("n") :]
+                    common &= set(_LOWER_WORD.findall(rest))
             for name in cued_names(t.text):
                 words = [w.lower() for w in _name_words(name)]
-                named.update(words)
+                common.difference_update(words)
                 if len(words) > 1:
-                    for kind, word in ((GIVEN, words[0]), (SURNAME, words[-1])):
-                        total[kind, _places(word)] += 1
-            common = {m[0] for m in _LOWER_WORD.finditer(t.text) if not any(a <= m.start() < b for a, b in lone)} - named
-            for word in common:
-                total[COMMON, _places(word)] += 1
+                    seen[GIVEN][words[0]] += 1
+                    seen[SURNAME][words[-1]] += 1
+            seen[COMMON].update(common)
+        total = np.zeros((3, ROWS * BUCKETS), np.int64)
+        for kind, counter in enumerate(seen):
+            for word, n in counter.items():
+                for at in _places(word):
+                    total[kind, at] += n
         flat = total.ravel()
         at = np.flatnonzero(flat)
         yield pd.DataFrame({"at": at, "n": flat[at]})
