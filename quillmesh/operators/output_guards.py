@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +36,66 @@ def _at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "variant")
 
 
-def schema_errors(v: Column, schema: dict, path: str = "$") -> list[Column]:
-    """Columns that hold an error message or null, for the keywords type, enum, const, minimum, maximum, exclusive bounds,
-    minLength, maxLength, pattern, properties, required, additionalProperties, items (by type), minItems and maxItems."""
-    known = {"$schema", "$id", "title", "description", "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength", "pattern", "properties", "required", "additionalProperties", "items", "minItems", "maxItems", "default", "examples"}
-    if unknown := set(schema) - known:
-        raise ValueError(f"unsupported schema keywords: {sorted(unknown)}")
-    node = _at(v, path)
-    there = node.isNotNull()
+_KEYWORDS = frozenset(
+    "$schema $id $ref $defs definitions title description default examples type enum const minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern "
+    "properties required additionalProperties minProperties maxProperties items minItems maxItems uniqueItems allOf anyOf oneOf not".split()
+)
+
+
+def _equals(node: Column, value) -> Column:
+    """Whether a variant is a JSON value: numbers by value, the rest by kind and content."""
     kind = _json_kind(node)
-    number, text = F.try_variant_get(v, path, "double"), F.try_variant_get(v, path, "string")
-    is_number, is_text = kind.isin("integer", "number"), kind == "string"
+    if isinstance(value, bool):
+        return (kind == "boolean") & (F.try_variant_get(node, "$", "boolean") == value)
+    if isinstance(value, (int, float)):
+        return kind.isin("integer", "number") & (F.try_variant_get(node, "$", "double") == float(value))
+    if value is None:
+        return kind == "null"
+    if isinstance(value, str):
+        return (kind == "string") & (F.try_variant_get(node, "$", "string") == value)
+    return F.to_json(node) == F.to_json(F.parse_json(F.lit(json.dumps(value))))
+
+
+def _resolve(root: dict, ref: str):
+    if not ref.startswith("#"):
+        raise ValueError(f"only references within the schema are supported: {ref}")
+    at = root
+    for step in ref[1:].split("/")[1:]:
+        at = at[step.replace("~1", "/").replace("~0", "~")]
+    return at
+
+
+def schema_errors(v: Column, schema: dict | bool, path: str = "$", root: dict | None = None, depth: int = 0) -> list[Column]:
+    """Columns that hold error messages of a variant or null, for the keywords in ``_KEYWORDS``; any other is refused.
+
+    A reference that leads into itself is refused too: the schema is unrolled into columns."""
+    root = schema if root is None else root
+    if depth > 32:
+        raise ValueError("the schema is nested too deep, or refers to itself")
+    there = v.isNotNull()
     errors: list[Column] = []
 
     def check(bad: Column, said: str) -> None:
-        errors.append(F.when(there & bad, F.lit(f"{path}: {said}")))
+        errors.append(F.when(there & F.coalesce(bad, F.lit(False)), F.lit(f"{path}: {said}")))
 
+    if isinstance(schema, bool):
+        if not schema:
+            check(F.lit(True), "is not allowed")
+        return errors
+    if unknown := set(schema) - _KEYWORDS:
+        raise ValueError(f"unsupported schema keywords: {sorted(unknown)}")
+    inner = lambda x, s, at=path: schema_errors(x, s, at, root, depth + 1)
+    fits = lambda x, s: ~F.exists(F.array(*(inner(x, s) or [F.lit(None)])).cast("array<string>"), lambda e: e.isNotNull())
+    kind = _json_kind(v)
+    number, text = F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "string")
+    is_number, is_text, is_object, is_array = kind.isin("integer", "number"), kind == "string", kind == "object", kind == "array"
+    if "$ref" in schema:
+        errors += inner(v, _resolve(root, schema["$ref"]))
     if "type" in schema:
         wanted = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
         allowed = {_NAMES[w] for w in wanted} | ({"integer"} if "number" in wanted else set())
         check(~kind.isin(*sorted(allowed)), f"expected {' or '.join(wanted)}")
-    for key, bad in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x)):
+    for key, bad in (("minimum", lambda x: number < x), ("maximum", lambda x: number > x), ("exclusiveMinimum", lambda x: number <= x), ("exclusiveMaximum", lambda x: number >= x), ("multipleOf", lambda x: F.abs(number / x - F.round(number / x)) > 1e-9)):
         if key in schema:
             check(is_number & bad(F.lit(float(schema[key]))), f"must respect {key} {schema[key]}")
     for key, bad in (("minLength", lambda x: F.length(text) < x), ("maxLength", lambda x: F.length(text) > x)):
@@ -63,27 +106,42 @@ def schema_errors(v: Column, schema: dict, path: str = "$") -> list[Column]:
     for key in ("enum", "const"):
         if key in schema:
             values = schema["enum"] if key == "enum" else [schema["const"]]
-            if not all(isinstance(x, str) for x in values):
-                raise ValueError("enum and const are supported for strings only")
-            check(~F.coalesce(is_text & text.isin(*values), F.lit(False)), f"must be one of {values}")
-    keys = F.json_object_keys(F.to_json(node))
+            one_of = functools.reduce(lambda x, y: x | y, [F.coalesce(_equals(v, x), F.lit(False)) for x in values], F.lit(False))
+            check(~one_of, f"must be one of {json.dumps(values, ensure_ascii=False)}")
+    keys = F.json_object_keys(F.to_json(v))
     for name in schema.get("required", ()):
-        check((kind == "object") & ~F.coalesce(F.array_contains(keys, name), F.lit(False)), f"required property '{name}' is missing")
-    if schema.get("additionalProperties") is False:
+        check(is_object & ~F.coalesce(F.array_contains(keys, name), F.lit(False)), f"required property '{name}' is missing")
+    for key, bad in (("minProperties", lambda x: F.size(keys) < x), ("maxProperties", lambda x: F.size(keys) > x)):
+        if key in schema:
+            check(is_object & bad(schema[key]), f"must respect {key} {schema[key]}")
+    more = schema.get("additionalProperties", True)
+    if more is not True:
+        if more is not False:
+            raise ValueError("additionalProperties is supported as true or false only")
         extra = F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))
-        check((kind == "object") & (F.size(extra) > 0), "has properties that are not allowed")
-    for name, inner in schema.get("properties", {}).items():
+        check(is_object & (F.size(extra) > 0), "has properties that are not allowed")
+    for name, of in schema.get("properties", {}).items():
         quoted = name.replace("'", "\\'")
-        errors += schema_errors(v, inner, f"{path}['{quoted}']" if not name.isidentifier() else f"{path}.{name}")
-    parts = F.try_variant_get(v, path, "array<variant>")
+        step = f"['{quoted}']" if not name.isidentifier() else f".{name}"
+        errors += inner(F.when(is_object, _at(v, "$" + step)), of, path + step)
+    parts = F.when(is_array, F.try_variant_get(v, "$", "array<variant>"))
     for key, bad in (("minItems", lambda x: F.size(parts) < x), ("maxItems", lambda x: F.size(parts) > x)):
         if key in schema:
-            check((kind == "array") & bad(schema[key]), f"must respect {key} {schema[key]}")
-    if isinstance(schema.get("items"), dict) and (of := schema["items"].get("type")):
-        if set(schema["items"]) - {"type"}:
-            raise ValueError("items are supported by type only")
-        allowed = {of} | ({"integer"} if of == "number" else set())
-        check((kind == "array") & F.exists(parts, lambda x: ~_json_kind(x).isin(*sorted(allowed))), f"items must be {of}")
+            check(is_array & bad(schema[key]), f"must respect {key} {schema[key]}")
+    if schema.get("uniqueItems"):
+        check(is_array & (F.size(F.array_distinct(F.transform(parts, F.to_json))) < F.size(parts)), "items must differ")
+    if "items" in schema:
+        said = F.flatten(F.transform(parts, lambda x: F.array_compact(F.array(*(inner(x, schema["items"], path + "[*]") or [F.lit(None)])).cast("array<string>"))))
+        errors.append(F.when(there & is_array & (F.size(said) > 0), F.array_join(F.array_distinct(said), "; ")))
+    for of in schema.get("allOf", ()):
+        errors += inner(v, of)
+    if "anyOf" in schema:
+        check(~functools.reduce(lambda x, y: x | y, [fits(v, of) for of in schema["anyOf"]]), "must fit one of the alternatives")
+    if "oneOf" in schema:
+        count = functools.reduce(lambda x, y: x + y, [fits(v, of).cast("int") for of in schema["oneOf"]])
+        check(count != 1, "must fit exactly one of the alternatives")
+    if "not" in schema:
+        check(fits(v, schema["not"]), "must not fit what is ruled out")
     return errors
 
 
@@ -110,13 +168,16 @@ def json_schema(schema: dict) -> Guard:
 
 # ---------------------------------------------------------------- grounding
 
-NO_REASON = "no reason given by judge"
+NO_REASON = "the judge gave none"
+# The labels of a judge's reply.
+_CONFIDENCE = r"(?i)CONFIDENCE\s*:\s*([0-9]*\.?[0-9]+)"
+_REASON = r"(?i)REASON\s*:\s*(.+)"
 
 
 def judge_prompt(context: Column, response: Column) -> Column:
     """What a judge is asked: to compare a response with its context and to answer in three labelled lines."""
     return F.concat(
-        F.lit("Compare the answer with the context.\nReply with three lines only:\nVERDICT: GROUNDED or UNGROUNDED\nCONFIDENCE: number from 0 to 1\nREASON: one sentence\n\nContext:\n"),
+        F.lit("Check the answer below against the context below.\nReply with these three lines and nothing else:\nVERDICT: GROUNDED or UNGROUNDED\nCONFIDENCE: a number between 0 and 1\nREASON: one short sentence\n\nContext:\n"),
         context,
         F.lit("\n\nAnswer:\n"),
         F.coalesce(response, F.lit("")),
@@ -136,21 +197,21 @@ def parse_grounding(judge: Column) -> Column:
     """
     upper = F.upper(judge)
     ungrounded, said = F.contains(upper, F.lit("UNGROUNDED")), F.contains(upper, F.lit("GROUNDED"))
-    number = F.regexp_extract(judge, r"(?i)CONFIDENCE\s*:\s*([0-9]*\.?[0-9]+)", 1).try_cast("double")
+    number = F.regexp_extract(judge, _CONFIDENCE, 1).try_cast("double")
     readable = F.coalesce(~is_blank(judge) & said, F.lit(False))
     return F.struct(
         F.coalesce(~(readable & ungrounded), F.lit(True)).alias("grounded"),
         F.when(readable, F.coalesce(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))).otherwise(F.lit(0.0)).alias("confidence"),
-        F.when(readable, F.trim(F.regexp_extract(judge, r"(?i)REASON\s*:\s*(.+)", 1))).otherwise(F.lit("")).alias("reason"),
+        F.when(readable, F.trim(F.regexp_extract(judge, _REASON, 1))).otherwise(F.lit("")).alias("reason"),
     )
 
 
-def grounding_verdict(text: Column, has_chunks: Column, judge: Column, *, strict: bool = False, min_confidence: float = 0.5, note: str = "this response may include claims not supported by the retrieved context") -> Column:
+def grounding_verdict(text: Column, has_chunks: Column, judge: Column, *, strict: bool = False, min_confidence: float = 0.5, note: str = "parts of this answer may not follow from the sources") -> Column:
     """Pass without chunks, when grounded or when the judge isn't sure; else block (strict) or a note after the text."""
     v = parse_grounding(judge)
     reason = F.when(is_blank(v["reason"]), F.lit(NO_REASON)).otherwise(v["reason"])
     if strict:
-        said = F.concat(F.lit("Response appears ungrounded in the retrieved context (confidence "), v["confidence"].cast("string"), F.lit("): "), reason)
+        said = F.concat(F.lit("The answer does not follow from the sources (confidence "), v["confidence"].cast("string"), F.lit("): "), reason)
         flagged = blocked("ungrounded-response", said)
     else:
         flagged = modified(F.concat(F.coalesce(text, F.lit("")), F.lit(f"\n\n[{note} - "), reason, F.lit("]")), "ungrounded-response")
@@ -193,7 +254,37 @@ def external_verdict(text: Column, status: Column, body: Column, *, fail_open: b
     )
 
 
-def with_grounding(df: DataFrame, text_col: str, chunks_col: str, judge_col: str, **options) -> DataFrame:
-    """Adds ``verdict`` to rows with response text, an array of chunks and the judge's reply; null chunks count as none."""
-    has = F.coalesce(F.size(F.col(chunks_col)) > 0, F.lit(False))
-    return df.withColumn("verdict", grounding_verdict(F.col(text_col), has, F.col(judge_col), **options))
+Caller = Callable[[DataFrame, str], DataFrame]
+
+
+def grounding_guard(judge: Caller, chunks_col: str = "chunks", **options) -> Guard:
+    """Output guard for rows with an array of chunks: asks the judge about texts that have some, and decides by ``grounding_verdict``.
+
+    ``judge(df, prompt_col)`` adds ``judge_reply``; a null prompt isn't to be asked, and a null reply, as of a judge that failed, passes.
+    Blocked rows, null texts, null or empty chunks and inputs aren't judged.
+    """
+
+    def rows(df: DataFrame, text_col: str, direction: str) -> DataFrame:
+        if direction != OUTPUT:
+            return df.withColumn("__verdict", passed())
+        text = F.col(text_col)
+        has = F.coalesce(F.size(F.col(chunks_col)) > 0, F.lit(False)) & text.isNotNull()
+        asked = df.withColumn("__prompt", F.when(has, judge_prompt(judge_context(F.col(chunks_col)), text)))
+        told = judge(asked, "__prompt")
+        return told.withColumn("__verdict", grounding_verdict(text, has, F.col("judge_reply"), **options)).drop("__prompt", "judge_reply")
+
+    return Guard("grounding", rows=rows)
+
+
+def validator_guard(call: Caller, *, fail_open: bool = False, applies_to: str = "both") -> Guard:
+    """Guard backed by an external validator. ``call(df, text_col)`` adds ``http_status`` and ``http_body``, as ``sources.http.validate`` does
+    with its server and key bound. Null texts and blocked rows aren't sent, nor is anything in a direction it doesn't apply to."""
+
+    def rows(df: DataFrame, text_col: str, direction: str) -> DataFrame:
+        if applies_to not in ("both", direction):
+            return df.withColumn("__verdict", passed())
+        told = call(df, text_col)
+        verdict = external_verdict(F.col(text_col), F.col("http_status"), F.col("http_body"), fail_open=fail_open, direction=direction, applies_to=applies_to)
+        return told.withColumn("__verdict", verdict).drop("http_status", "http_body")
+
+    return Guard("external-validator", rows=rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from importlib import metadata
 
 from quillmesh.operators.guards import GuardChain, parse_mode, server_chain
 
@@ -40,6 +42,15 @@ class ProviderRegistry:
             raise KeyError(f"unknown_provider: {provider_id}")
         return self._by_id[provider_id]
 
+    def discover(self, group: str = "quillmesh.providers") -> "ProviderRegistry":
+        """Registers what installed distributions offer under an entry point group, by name; what can't be loaded is left out."""
+        for found in sorted(metadata.entry_points(group=group), key=lambda e: e.name):
+            try:
+                self.register(found.name, found.load())
+            except Exception:
+                logging.getLogger(__name__).exception("provider %s can't be loaded", found.name)
+        return self
+
     def ids(self) -> list[str]:
         return sorted(self._by_id)
 
@@ -56,7 +67,8 @@ class PersonaManager:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """What a chat run uses. Both of tools and executor, or neither; at least one provider call."""
+    """What a chat run uses. Tools need an executor; at least one provider call. The persona's prefix, if there is one, comes before
+    ``persona_prefix``. For what executor and retriever are, see ``plans.pipeline``."""
 
     input_chain: GuardChain = field(default_factory=lambda: GuardChain([]))
     untrusted_chain: GuardChain = field(default_factory=lambda: GuardChain([]))
@@ -68,9 +80,18 @@ class EngineConfig:
     max_tool_calls: int = 5
     tools: tuple = ()
     tool_executor: Callable | None = None
+    retriever: Callable | None = None
+    persona: PersonaManager | None = None
 
     def __post_init__(self):
         if self.tools and self.tool_executor is None:
             raise ValueError("tools need an executor")
         if self.max_tool_calls < 1:
             raise ValueError("max_tool_calls must be at least 1")
+        if self.default_top_k < 1:
+            raise ValueError("default_top_k must be at least 1")
+
+    def prefix(self) -> str | None:
+        """The system prefix in force: the active persona's, else the configured one."""
+        own = self.persona.active[1] if self.persona is not None else None
+        return own if own is not None else self.persona_prefix

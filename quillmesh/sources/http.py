@@ -55,21 +55,28 @@ def _headers(kind: str, key: str | None) -> dict[str, str]:
 _PATHS = {"openai": "/chat/completions", "anthropic": "/v1/messages", "ollama": "/api/chat"}
 
 
-def provider(kind: str, base_url: str, key: str | None = None, timeout: float = 60.0) -> Callable[[DataFrame], DataFrame]:
-    """A provider for ``pipeline.chat``: encodes messages, calls, decodes. A failed call leaves content null and sets provider_error."""
+def provider(kind: str, base_url: str, key: str | None = None, timeout: float = 60.0, tools: tuple = ()) -> Callable[[DataFrame], DataFrame]:
+    """A provider for ``pipeline.chat``: encodes messages, calls, decodes. A failed call leaves content null and sets provider_error.
+
+    ``tools``, (name, description, parameters as JSON text) each, are sent to providers that take them, and their calls come back
+    in tool_calls, to be run by the pipeline."""
 
     def complete(df: DataFrame) -> DataFrame:
         none = {"temperature": "double", "max_tokens": "int"}
         opt = {c: F.col(c) if c in df.columns else F.lit(None).cast(t) for c, t in none.items()}
-        calls, call_id = F.lit(None).cast(f"array<{codecs.CALL}>"), F.lit(None).cast("string")
-        messages = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), calls.alias("tool_calls"), call_id.alias("tool_call_id")))
-        body = codecs.REQUESTS[kind](F.coalesce("route_model", "model"), messages, opt["temperature"], opt["max_tokens"])
+        sent = {f.name for f in df.schema["messages"].dataType.elementType.fields}
+        given = lambda m, c, t: m[c] if c in sent else F.lit(None).cast(t)
+        messages = F.transform(
+            "messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), given(m, "tool_calls", f"array<{codecs.CALL}>").alias("tool_calls"), given(m, "tool_call_id", "string").alias("tool_call_id"))
+        )
+        known = {"tools": F.array(*[F.struct(*[F.lit(x).cast("string").alias(c) for c, x in zip(("name", "description", "parameters"), t)]) for t in tools])} if tools and kind == "openai" else {}
+        body = codecs.REQUESTS[kind](F.coalesce("route_model", "model"), messages, opt["temperature"], opt["max_tokens"], **known)
         asked = call(df.withColumn("__body", body), base_url.rstrip("/") + _PATHS[kind], "__body", headers=_headers(kind, key), timeout=timeout)
         text = F.when(F.col("http_status") == 200, F.col("http_body"))
         read = {"openai": codecs.openai_response, "anthropic": codecs.anthropic_response, "ollama": lambda b: codecs.ollama_response(b, F.col("request_id"))}[kind](text)
         failed = F.when(F.col("http_status").isNull(), F.lit("timeout")).otherwise(codecs.provider_error(F.col("http_status")))
         out = asked.withColumn("__r", F.when(text.isNotNull(), read))
-        fields = {"content": F.col("__r.content"), "finish_reason": F.col("__r.finish_reason"), "provider_error": failed}
+        fields = {"content": F.col("__r.content"), "finish_reason": F.col("__r.finish_reason"), "tool_calls": F.col("__r.tool_calls"), "provider_error": failed}
         fields |= {c: F.col(f"__r.usage.{c}") for c in ("prompt_tokens", "completion_tokens", "total_tokens")}
         return out.withColumns(fields).drop("__r", "__body", "http_status", "http_body")
 
@@ -80,10 +87,10 @@ def validator_url(base_url: str, guard: str) -> str:
     return f"{base_url.rstrip('/')}/guards/{urllib.parse.quote(guard, safe='')}/validate"
 
 
-def validate(df: DataFrame, text_col: str, base_url: str, guard: str, timeout: float = 5.0) -> DataFrame:
-    """Adds http_status and http_body of a validator's reply to each text; interpret them with ``external_verdict``."""
+def validate(df: DataFrame, text_col: str, base_url: str, guard: str, timeout: float = 5.0, key: str | None = None) -> DataFrame:
+    """With a key as bearer, if there is one. Adds http_status and http_body of a validator's reply to each text; interpret them with ``external_verdict``."""
     body = F.when(F.col(text_col).isNotNull(), F.to_json(F.struct(F.col(text_col).alias("llmOutput"))))
-    return call(df.withColumn("__sent", body), validator_url(base_url, guard), "__sent", timeout=timeout).drop("__sent")
+    return call(df.withColumn("__sent", body), validator_url(base_url, guard), "__sent", headers=_headers("openai", key), timeout=timeout).drop("__sent")
 
 
 def models_listed(kind: str, body: str) -> list[dict]:
