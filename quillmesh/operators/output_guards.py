@@ -129,7 +129,7 @@ def schema_errors(v: Column, schema: dict | bool, path: str = "$", root: dict |
         if key in schema:
             check(is_array & bad(schema[key]), f"must respect {key} {schema[key]}")
     if schema.get("uniqueItems"):
-        check(is_array & (F.size(F.array_distinct(F.transform(parts, F.to_json))) < F.size(parts)), "items must differ")
+        check(is_array & (F.size(F.array_distinct(F.transform(parts, lambda x: F.to_json(x)))) < F.size(parts)), "items must differ")
     if "items" in schema:
         said = F.flatten(F.transform(parts, lambda x: F.array_compact(F.array(*(inner(x, schema["items"], path + "[*]") or [F.lit(None)])).cast("array<string>"))))
         errors.append(F.when(there & is_array & (F.size(said) > 0), F.array_join(F.array_distinct(said), "; ")))

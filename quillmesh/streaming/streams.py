@@ -33,16 +33,17 @@ class CarryReason(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else (None, None)
-        reason, started = held[0], held[1]
-        out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples(index=False):
-            if r.keep:
-                out.append((key[0], r.seq, None if r.done else r.delta, bool(r.done), reason if r.done else None, started is None))
-                started = "y"
-            if isinstance(r.said, str):
-                reason = r.said
-        self.state.update((reason, started))
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "delta", "done", "finish_reason", "first"])
+        batch = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        # The reason told last before each row, of this batch or carried from one before it.
+        told = batch["said"].astype(object).where(batch["said"].notna(), None)
+        before = pd.concat([pd.Series([held[0]], dtype=object), told], ignore_index=True).ffill()
+        done, kept = batch["done"].astype(bool), batch["keep"].astype(bool)
+        out = pd.DataFrame({"stream_id": key[0], "seq": batch["seq"], "delta": batch["delta"].astype(object).where(~done, None), "done": done, "finish_reason": before.iloc[:-1].astype(object).where(done, None)})[kept]
+        out = out.astype({"finish_reason": object}).assign(first=(pd.RangeIndex(len(out)) == 0) & (held[1] is None))
+        out["finish_reason"] = out["finish_reason"].where(out["finish_reason"].notna(), None)
+        last = before.iloc[-1]
+        self.state.update((last if isinstance(last, str) else None, held[1] or ("y" if len(out) else None)))
+        yield out
 
     def close(self) -> None:
         pass

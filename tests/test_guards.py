@@ -235,3 +235,60 @@ def test_external_validator(spark, status, body, closed, opened):
     df = spark.createDataFrame([("hello", status, body)], "t string, s int, b string")
     got = df.select(*[external_verdict(F.col("t"), F.col("s"), F.col("b"), fail_open=o)["reason_code"].alias(f"o{int(o)}") for o in (False, True)]).first()
     assert (got.o0, got.o1) == (closed, opened)
+
+
+def _fits(spark, schema, texts):
+    return [r["action"] == "pass" for r in run(spark, GuardChain([json_schema(schema)]), texts, OUTPUT)]
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"anyOf": [{"type": "string"}, {"type": "integer", "minimum": 5}]}, ['"x"', "7"], ["3", "null", "[]"]),
+        ({"oneOf": [{"type": "integer"}, {"type": "number", "minimum": 5}]}, ["3", "5.5"], ["7", '"x"']),
+        ({"allOf": [{"required": ["a"]}, {"properties": {"a": {"const": 1}}}]}, ['{"a": 1}', '{"a": 1.0, "b": 2}'], ['{"a": 2}', "{}"]),
+        ({"not": {"type": "null"}}, ["1", "{}"], ["null"]),
+        ({"enum": [1, "a", None, True, [1, {"b": 2}]]}, ["1", "1.0", '"a"', "null", "true", '[1, {"b": 2}]'], ["2", '"b"', "false", "[1]", '"1"']),
+        ({"$defs": {"p": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer"}}}}, "type": "array", "items": {"$ref": "#/$defs/p"}}, ["[]", '[{"x": 1}, {"x": 2}]'], ['[{"x": 1}, {}]', '[{"x": "1"}]', "{}"]),
+        ({"type": "array", "items": {"type": "array", "items": {"type": "number", "multipleOf": 0.5}}, "uniqueItems": True}, ["[[1, 1.5], [2]]"], ["[[1], [1]]", "[[1.3]]", "[1]"]),
+        ({"type": "object", "minProperties": 1, "maxProperties": 2, "properties": {"a b": False, "n": {"properties": {"m": {"maxLength": 2}}}}}, ['{"x": 1}', '{"n": {"m": "ab"}}', '{"n": 3}'], ["{}", '{"x": 1, "y": 2, "z": 3}', '{"a b": 1}', '{"n": {"m": "abc"}}']),
+    ],
+)
+def test_json_schema_keywords(spark, schema, good, bad):
+    assert _fits(spark, schema, good) == [True] * len(good)
+    assert _fits(spark, schema, bad) == [False] * len(bad)
+
+
+def test_json_schema_errors_name_the_place(spark):
+    schema = {"type": "array", "items": {"type": "object", "required": ["x"]}}
+    got = run(spark, GuardChain([json_schema(schema)]), ["[{}, {}, 1]"], OUTPUT)[0]
+    assert got["message"] == "$[*]: required property 'x' is missing; $[*]: expected object"
+    for bad in ({"patternProperties": {}}, {"$ref": "http://elsewhere"}, {"$ref": "#"}, {"additionalProperties": {"type": "string"}}):
+        with pytest.raises(ValueError):
+            GuardChain([json_schema(bad)]).run(spark.createDataFrame([("1",)], "t string"), "t", OUTPUT)
+
+
+def test_grounding_and_validator_in_a_chain(spark):
+    from quillmesh.operators.output_guards import grounding_guard, validator_guard
+
+    asked = []
+
+    def judge(df, prompt_col):
+        asked.append(prompt_col)
+        p = F.col(prompt_col)
+        return df.withColumn("judge_reply", F.when(p.contains("broken judge"), F.lit(None)).when(p.contains("moon"), F.lit("VERDICT: UNGROUNDED\nCONFIDENCE: 0.9\nREASON: no moon in it")).when(p.isNotNull(), F.lit("VERDICT: GROUNDED\nCONFIDENCE: 1")))
+
+    def call(df, text_col):
+        t = F.col(text_col)
+        return df.withColumns({"http_status": F.when(t.isNotNull(), F.lit(200)), "http_body": F.when(t.contains("secret"), F.lit('{"validationPassed": false}')).otherwise(F.lit('{"validationPassed": true, "validatedOutput": null}'))})
+
+    rows = [("a", "the moon is green", [("fact",)]), ("b", "the moon is green", []), ("c", "plain", [("fact",)]), ("d", "a secret", [("fact",)]), ("e", None, [("fact",)]), ("f", "broken judge, moon", [("fact",)]), ("g", "the moon", None)]
+    df = spark.createDataFrame(rows, "id string, t string, chunks array<struct<content:string>>")
+    chain = GuardChain([validator_guard(call), grounding_guard(judge, strict=True)])
+    got = {r.id: (r.action, r.guard_id, r.reason_code) for r in chain.run(df, "t", OUTPUT).collect()}
+    ok = ("pass", None, None)
+    assert got == {"a": ("block", "grounding", "ungrounded-response"), "b": ok, "c": ok, "d": ("block", "external-validator", "guardrails-ai-validation-failed"), "e": ok, "f": ok, "g": ok}
+    assert len(asked) == 1 and {r.action for r in chain.run(df, "t", "input").where("id <> 'd'").collect()} == {"pass"} and len(asked) == 1
+    soft = {r.id: r.guarded_text for r in GuardChain([grounding_guard(judge)]).run(df, "t", OUTPUT).collect()}
+    assert soft["a"].startswith("the moon is green\n\n[") and "no moon in it" in soft["a"] and soft["c"] == "plain"
+    assert {r.action for r in GuardChain([validator_guard(call, applies_to="input")]).run(df, "t", OUTPUT).collect()} == {"pass"}
