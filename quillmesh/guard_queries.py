@@ -58,9 +58,9 @@ _ONLY = {"percent": " AND NOT regexp_matches(text, '%($|[^0-9a-fA-F]|[0-9a-fA-F]
 
 
 def _hiding(spark, d, form: str) -> DataFrame:
-    """Documents of which every third one hides the attack at its end."""
-    hidden = F.when(F.col("doc_id") % 3 == 0, F.lit(form)).otherwise(F.lit(""))
-    return spread(table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), hidden).alias("text")))
+    """Documents of which every third one hides the attack at its end, after a word that no decoder takes for a part of it."""
+    hidden = F.when(F.col("doc_id") % 3 == 0, F.lit(f"\nnote {form}")).otherwise(F.lit(""))
+    return spread(table(spark, d, "documents").select("doc_id", F.concat("text", hidden).alias("text")))
 
 
 def _decoder_query(name: str, form: str) -> None:
@@ -87,8 +87,8 @@ def encoded_guard(spark: SparkSession, d: str) -> DataFrame:
     """Documents of which some hide a payload behind one of several encodings."""
     hidden = F.lit("")
     for i, name in enumerate(_MIXED):
-        hidden = F.when(F.col("doc_id") % 6 == i, F.lit(FORMS[name])).otherwise(hidden)
-    rows = spread(table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), hidden).alias("text")))
+        hidden = F.when(F.col("doc_id") % 6 == i, F.lit(f"\nnote {FORMS[name]}")).otherwise(hidden)
+    rows = spread(table(spark, d, "documents").select("doc_id", F.concat("text", hidden).alias("text")))
     return GuardChain([encoded_injection()]).run(rows, "text").select("doc_id", "action", "reason_code")
 
 
