@@ -106,24 +106,46 @@ def _shared(texts: pd.DataFrame, grams: pd.DataFrame) -> tuple[np.ndarray, np.nd
     return table, np.append(first, len(gram)), at[order].astype(np.int32), texts["item_id"].tolist(), texts["item_text"].tolist()
 
 
-def most_score(known: np.ndarray) -> int:
-    """No alignment scores more, given which words of one side the other side has: 2 for each of those, -1 for each other."""
+def _bounds(known: np.ndarray) -> np.ndarray:
+    """At each place the most that an alignment ending there can score, given which words the other side has: 2 for each of those, -1 for
+    each other."""
     total = np.cumsum(np.where(known, 2, -1))
-    return max(0, int((total - np.minimum.accumulate(np.minimum(np.append(0, total[:-1]), 0))).max(initial=0)))
+    return total - np.minimum.accumulate(np.minimum(np.append(0, total[:-1]), 0))
+
+
+def most_score(known: np.ndarray) -> int:
+    """No alignment scores more, given which words of one side the other side has."""
+    return max(0, int(_bounds(known).max(initial=0)))
 
 
 def _score(doc_id, words: list[str], present: set[str], item_id, item: list[str], min_run: int, min_share: float):
-    """The row of a pair, or nothing if the words that the two have in common are too few, or too far apart."""
+    """The row of a pair, or nothing if the words that the two have in common are too few, or too far apart.
+
+    Every beginning of a best alignment scores more than nothing, so it lies within a stretch of the document whose bound stays above
+    nothing: only those stretches are aligned, and of them only what could beat the best so far or holds a long run.
+    """
     own, whole = set(item), 2.0 * len(item)
     if sum(w in present for w in item) < min_run and most_score(np.array([w in present for w in item])) / whole < min_share:
         return []
-    known = np.array([w in own for w in words])
-    if most_score(known) / whole < min_share and "1" * min_run not in "".join("01"[k] for k in known.tolist()):
+    known = np.fromiter((w in own for w in words), bool, len(words))
+    bound = _bounds(known)
+    if bound.max(initial=0) / whole < min_share and not _has_run(known, min_run):
         return []
-    score, run = align(item, words)
+    edge = np.flatnonzero(np.diff(np.r_[0, bound > 0, 0]))
+    spans = sorted(zip(edge[::2].tolist(), edge[1::2].tolist()), key=lambda x: -bound[x[0] : x[1]].max())
+    score = run = 0
+    for a, b in spans:
+        if bound[a:b].max() > score or _has_run(known[a:b], max(min_run, run + 1)):
+            s, r = align(item, words[a:b])
+            score, run = max(score, s), max(run, r)
     return [(doc_id, item_id, score, score / whole, run)]
 
 
+def _has_run(known: np.ndarray, length: int) -> bool:
+    edge = np.flatnonzero(np.diff(np.r_[0, known, 0]))
+    return bool(len(edge)) and int((edge[1::2] - edge[::2]).max()) >= length
+
+
 _SCORED = ["doc_id", "item_id", "score", "share", "longest_run"]
 
 

@@ -15,7 +15,8 @@ import functools
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmesh.session import cut_lineage, spread
@@ -34,9 +35,15 @@ def _tokenizer(path: str):
     return t
 
 
-def _counter(path: str):
+def ship_tokenizer(spark: SparkSession, path: str) -> str:
+    """Sends the tokenizer's file, which only the driver need have, with the job; the name by which executors find it."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _counter(name: str):
     def run(batches):
-        t = _tokenizer(path)
+        t = _tokenizer(SparkFiles.get(name))
         for pdf in batches:
             n = [len(e) for at in range(0, len(pdf), 64) for e in t.encode_batch(pdf["text"].iloc[at : at + 64].to_list(), add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "weight": pdf["weight"], "tokens": n})
@@ -51,9 +58,12 @@ def source_key(source):
 
 
 def quality_weight(text):
-    """Between 0.05 and 1: the share of letters and blanks, less for texts under 200 characters."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L} ]", ""))
-    return F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1)) * F.least(F.lit(1.0), F.length(text) / F.lit(200.0)))
+    """Between 0.05 and 1, where no column of weights is given: the share of letters and blanks, times the share of lines that differ,
+    less for texts under 200 characters."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{L} ]", "")) / F.greatest(F.length(text), F.lit(1))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    fresh = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
+    return F.greatest(F.lit(0.05), letters * fresh * F.least(F.lit(1.0), F.length(text) / F.lit(200.0)))
 
 
 def _sources(targets: DataFrame) -> DataFrame:
@@ -79,15 +89,20 @@ def plan_budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None
     return rows.withColumn("budget", F.coalesce(F.least(most, F.floor(F.col("p") * total + 1e-6)), F.lit(0)).cast("bigint")).select("source", "target_share", "max_repeats", "available_tokens", "n_docs", "budget")
 
 
-def size_documents(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, weight, tokens) of documents with a source and a text of at least one token, checkpointed."""
-    rows = docs.where("doc_id is not null").select("doc_id", source_key(F.col("source")).alias("source"), F.col("text").alias("text")).where("source is not null and text is not null and text <> ''")
-    rows = spread(rows).withColumn("weight", quality_weight(F.col("text")))
+def size_documents(docs: DataFrame, tokenizer: str = TOKENIZER, quality_col: str | None = None) -> DataFrame:
+    """(doc_id, source, weight, tokens) of documents with a source and a text of at least one token, checkpointed.
+
+    ``quality_col`` has the documents' quality weights; null and non-positive ones count as 0.05. A document given under several sources or texts
+    counts once, under the first source and with the fewest tokens.
+    """
+    quality = F.greatest(F.lit(0.05), F.coalesce(F.col(quality_col).cast("double"), F.lit(0.05))) if quality_col else quality_weight(F.col("text"))
+    rows = docs.where("doc_id is not null").select("doc_id", source_key(F.col("source")).alias("source"), F.col("text").alias("text"), quality.alias("weight")).where("source is not null and text is not null and text <> ''")
     kind = dict(docs.dtypes)["doc_id"]
-    return cut_lineage(rows.mapInPandas(_counter(tokenizer), f"doc_id {kind}, source string, weight double, tokens bigint").where("tokens > 0").dropDuplicates(["doc_id"]))
+    sized = spread(rows).mapInPandas(_counter(ship_tokenizer(docs.sparkSession, tokenizer)), f"doc_id {kind}, source string, weight double, tokens bigint").where("tokens > 0")
+    return cut_lineage(sized.groupBy("doc_id").agg(F.min(F.struct("source", "tokens", "weight")).alias("s")).select("doc_id", "s.source", "s.weight", "s.tokens"))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 1, sized: DataFrame | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, tokenizer: str = TOKENIZER, quality_col: str | None = None, seed: int = 1, sized: DataFrame | None = None) -> DataFrame:
     """(doc_id, source, tokens, repeats): how often each chosen document is used.
 
     docs: doc_id, source, text; targets: source, target_weight, max_repeats. Sources match whatever their
@@ -95,7 +110,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     count for nothing, and a missing max_repeats is 1. Ties of keys go by doc_id. Empty tables give an
     empty result; other columns are ignored.
     """
-    sized = size_documents(docs, tokenizer) if sized is None else sized
+    sized = size_documents(docs, tokenizer, quality_col) if sized is None else sized
     budgets = plan_budgets(sized, targets, total_tokens)
     buckets = max(1, min(1_000_000, -(-sized.count() // ROWS_A_BUCKET)))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
@@ -115,9 +130,9 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     return chosen.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
 
 
-def mix_shares(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, tokenizer: str = TOKENIZER, seed: int = 1) -> DataFrame:
+def mix_shares(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, tokenizer: str = TOKENIZER, quality_col: str | None = None, seed: int = 1) -> DataFrame:
     """(source, target_share, actual_share, budget_tokens, used_tokens, n_docs_used, most_repeats, max_repeats) for each source with a target."""
-    sized = size_documents(docs, tokenizer)
+    sized = size_documents(docs, tokenizer, quality_col)
     mixed = mix_sources(docs, targets, total_tokens=total_tokens, tokenizer=tokenizer, seed=seed, sized=sized)
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.count("*").alias("n_docs_used"), F.max("repeats").alias("most_repeats"))
     rows = plan_budgets(sized, targets, total_tokens).join(used, "source", "left").fillna(0, ["used_tokens", "n_docs_used", "most_repeats"])

@@ -92,6 +92,18 @@ def test_an_edited_copy_without_a_verbatim_one_is_aligned(spark, monkeypatch, bo
     assert [(r.doc_id, r.item_id, r.longest_run) for r in got] == [(1, 10, 7)] and got[0].share == (2 * 19 - 2) / 42
 
 
+def test_only_stretches_that_can_score_are_aligned(monkeypatch):
+    """Long documents with several copies: the same as aligning the whole, over far fewer words."""
+    seen = []
+    plain = L.align
+    monkeypatch.setattr(L, "align", lambda a, b: seen.append(len(b)) or plain(a, b))
+    item = L.plain_words(ITEM)
+    filler = [f"f{i}" for i in range(5000)]
+    doc = filler + item[:9] + ["x"] + item[10:] + filler + item[:13] + filler
+    (row,) = L._score(1, doc, set(doc), 2, item, 12, 0.5)
+    assert row[2:] == (plain(item, doc)[0], plain(item, doc)[0] / (2.0 * len(item)), plain(item, doc)[1]) and sum(seen) < 200
+
+
 def _corpus(spark):
     rows = [(i, "Big Source" if i < 600 else "small_source" if i < 640 else "untargeted", f"some words of document {i} " * (1 + i % 7)) for i in range(700)]
     rows += [(1000, "big-source", None), (1001, None, "text"), (1002, "big source", "")]
@@ -129,6 +141,14 @@ def test_selection_equals_plain_prefix_sums(spark, monkeypatch):
     assert sorted(map(tuple, M.mix_sources(docs, targets, total_tokens=3000).collect())) == want
 
 
+def test_a_column_of_weights_and_documents_given_twice(spark):
+    docs = spark.createDataFrame([(i, "s", "five words of plain text", 1.0 if i % 2 else 0.05) for i in range(1000)] + [(0, "a", "x", 1.0), (0, "s", "five words of plain text", None)], "doc_id bigint, source string, text string, quality double")
+    t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    got = M.mix_sources(docs, t, total_tokens=1000, quality_col="quality").collect()
+    assert 150 < len(got) and sum(r.doc_id % 2 for r in got) > 0.85 * len(got) and 0 not in {r.doc_id for r in got}
+    assert [(r.source, r.tokens) for r in M.size_documents(docs, quality_col="quality").where("doc_id = 0").collect()] == [("a", 1)]
+
+
 def test_weights_count(spark):
     docs = spark.range(2000).select("id", F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, F.lit("plain readable words of good length " * 8)).otherwise(F.lit("#!$ 12 " * 40)).alias("text")).withColumnRenamed("id", "doc_id")
     t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_weight double, max_repeats int")
