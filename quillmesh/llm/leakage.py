@@ -227,7 +227,7 @@ def leaked_items(
         scored = corpus.mapInPandas(_screen(spark.sparkContext.broadcast(shared), n, min_run, min_share), schema)
     else:
         found = corpus.mapInPandas(_doc_grams(n), f"doc_id {doc_kind}, grams array<bigint>").select("doc_id", F.explode("grams").alias("gram"))
-        candidates = found.join(grams, "gram").select("doc_id", "item_id").distinct()
-        work = candidates.join(corpus, "doc_id").join(held, "item_id")
+        candidates = found.join(grams.hint("merge"), "gram").select("doc_id", "item_id").distinct()
+        work = candidates.hint("merge").join(corpus, "doc_id").join(held.hint("merge"), "item_id")
         scored = work.mapInPandas(_aligner(min_run, min_share), schema)
     return scored.where((F.col("longest_run") >= min_run) | (F.col("share") >= min_share)).distinct()

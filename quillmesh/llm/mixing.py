@@ -122,7 +122,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, total_tokens: int | None
     sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("t"))
     before = sums.withColumn("start", F.sum("t").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).drop("t")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.join(before, ["source", "bucket"]).withColumn("prefix", F.col("start") + F.sum("tokens").over(within))
+    run = keyed.join(before.hint("merge"), ["source", "bucket"]).withColumn("prefix", F.col("start") + F.sum("tokens").over(within))
     epochs = F.least(F.floor(F.col("budget") / F.col("available_tokens")), F.col("max_repeats"))
     left = F.col("budget") - epochs * F.col("available_tokens")
     extra = ((F.col("prefix") <= left) & (epochs < F.col("max_repeats"))).cast("int")

@@ -103,7 +103,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """How many documents and words each source has on each level."""
     level = reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
-    return level.join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
+    return level.hint("merge").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "reading_level").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p3_found, p3_redacted, p4_found, p4_evidence, p4_rates, p4_limits, p5_found, p5_groups, p6_found, p6_scores, p7_mix, p7_shares, p8_found, p8_profile)}

@@ -283,7 +283,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, *, least_words: int = LEA
     rows = x.select(F.lit("all").alias("lang"), "x").unionAll(x.select("lang", "x")).groupBy("lang").agg(F.count("*").alias("n"), *mean, *square).collect()
     moments = shrunken({r.lang: r.n for r in rows}, *({r.lang: np.array([r[f"{k}{i}"] for i in range(FEATURES)]) for r in rows} for k in "ms"))
     grades = labels.where("reading_level between 1 and 3").groupBy("doc_id").agg(F.sort_array(F.collect_list("reading_level")).alias("given"))
-    graded = x.join(grades, "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_graded).select("lang", "x", "given").collect()
+    graded = x.join(grades.hint("merge"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_graded).select("lang", "x", "given").collect()
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, reading_level int, score double, n_words int"
     if not graded:
