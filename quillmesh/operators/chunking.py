@@ -106,8 +106,12 @@ def ingest(existing: DataFrame, documents: DataFrame, id_col: str, text_col: str
     new = chunk_documents(usable, "doc_id", "content", size, overlap)
     if embed is not None:
         new = new.withColumn("embedding", embed(F.col("content")))
-    given = usable.select("doc_id").distinct()
-    others = existing.join(given.hint("merge"), "doc_id", "left_anti")
+    return replace_chunks(existing, new, usable.select("doc_id"))
+
+
+def replace_chunks(existing: DataFrame, new: DataFrame, given: DataFrame) -> DataFrame:
+    """The table of chunks after those of the given documents (doc_id) are replaced by the new ones."""
+    others = existing.join(given.distinct().hint("merge"), "doc_id", "left_anti")
     # A chunk of another document that happens to have a new id is replaced, as by its key.
     return upsert_chunks(others.select(*[f"`{c}`" for c in existing.columns]), new)
 

@@ -163,8 +163,10 @@ def decode_lines(lines: DataFrame, provider: str, *, stream_col: str = "stream_i
         delta, keep = F.when(F.col("j.type") == "content_block_delta", F.coalesce("j.delta.text", F.lit(""))), F.col("j.type").isin("content_block_delta", "message_stop")
     else:
         raise ValueError(f"unknown provider: {provider}")
-    told = data.withColumn("reason", F.last("said", ignorenulls=True).over(before))
-    return told.where(keep).select("stream_id", "seq", delta.alias("delta"), "done", F.when(F.col("done"), F.col("reason")).alias("finish_reason"))
+    # The line is read before the rows meet by stream, so only what it says travels.
+    read = data.select("stream_id", "seq", delta.alias("delta"), "done", "said", keep.alias("keep"))
+    told = read.withColumn("reason", F.last("said", ignorenulls=True).over(before))
+    return told.where("keep").select("stream_id", "seq", "delta", "done", F.when(F.col("done"), F.col("reason")).alias("finish_reason"))
 
 
 def join_deltas(chunks: DataFrame) -> DataFrame:
@@ -219,6 +221,7 @@ def encode_stream(chunks: DataFrame, model: Column, created: Column) -> DataFram
 # ---------------------------------------------------------------- errors
 
 
+# The codes and statuses of errors, as clients of the service know them.
 def provider_error(status: Column) -> Column:
     """auth for 401 and 403, rate_limit for 429, error for the rest; null for 200."""
     return F.when(status == 200, F.lit(None).cast("string")).when(status.isin(401, 403), F.lit("auth")).when(status == 429, F.lit("rate_limit")).otherwise(F.lit("error"))

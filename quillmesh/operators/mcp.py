@@ -117,3 +117,14 @@ def server_info(result_json: Column) -> Column:
     has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False)).alias(k)
     get = lambda p: F.coalesce(F.get_json_object(result_json, p), F.lit(""))
     return F.struct(get("$.serverInfo.name").alias("name"), get("$.serverInfo.version").alias("version"), has("tools"), has("resources"), has("prompts"))
+
+
+def tool_call_pairs(messages: DataFrame) -> DataFrame:
+    """(message_id, tool_call_id, tool): each message that answers a tool call, with the name of the tool called in the same request.
+
+    messages: message_id, request_id, tool_calls (array of id, name, ...), tool_call_id. Answers to calls nobody made have a null tool; repeated
+    rows count once.
+    """
+    results = messages.where("tool_call_id is not null").select("message_id", "request_id", "tool_call_id").distinct()
+    calls = messages.select("request_id", F.explode("tool_calls").alias("t")).select("request_id", F.col("t.id").alias("tool_call_id"), F.col("t.name").alias("tool")).distinct()
+    return results.join(calls, ["request_id", "tool_call_id"], "left").groupBy("message_id", "tool_call_id").agg(F.min("tool").alias("tool"))

@@ -460,10 +460,7 @@ def prompt_assemble(spark: SparkSession, d: str) -> DataFrame:
 )
 def tool_call_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each tool result with the name of the tool whose call it answers."""
-    rows = table(spark, d, "messages")
-    results = rows.where("tool_call_id is not null").select("message_id", "request_id", "tool_call_id").distinct()
-    calls = rows.select("request_id", F.explode("tool_calls").alias("t")).select("request_id", F.col("t.id").alias("tool_call_id"), F.col("t.name").alias("tool"))
-    return results.join(calls, ["request_id", "tool_call_id"], "left").groupBy("message_id", "tool_call_id").agg(F.min("tool").alias("tool"))
+    return mcp.tool_call_pairs(table(spark, d, "messages"))
 
 
 # ---------------------------------------------------------------- usage and spans

@@ -5,27 +5,60 @@ from __future__ import annotations
 import logging
 import os
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from importlib import metadata
 
-from quillmesh.operators.guards import GuardChain, parse_mode, server_chain
+from pyspark.sql import functions as F
+
+from quillmesh.operators.guards import GuardChain, injection_guards, parse_mode, server_chain
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Settings of a service; each from the variable of its name in capitals after a prefix, and blank ones are these defaults."""
+
     provider_id: str = "ollama"
     max_input_chars: int = 4000
-    injection_mode: str = "on"
+    injection_guard_mode: str = "on"
+    port: int = 8686
+    skills_dir: str | None = None
+    routing_config: str | None = None
+    server_api_key: str | None = None
+    provider_base_url: str | None = None
+    provider_api_key: str | None = None
+    retriever_command: str | None = None
+    retriever_url: str | None = None
+    retriever_tool: str | None = None
+    validator_url: str | None = None
+    validator_token: str | None = None
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "QUILLMESH_") -> "Settings":
-        """Settings from variables PROVIDER_ID, MAX_INPUT_CHARS and INJECTION_GUARD_MODE after the prefix; blank ones are defaults."""
+        """A number that is none and an unknown mode are errors, before anything is opened."""
         env = os.environ if env is None else env
-        get = lambda k: (env.get(prefix + k) or "").strip()
-        return cls(get("PROVIDER_ID") or cls.provider_id, int(get("MAX_INPUT_CHARS") or cls.max_input_chars), parse_mode(get("INJECTION_GUARD_MODE")))
+        given = {f.name: (env.get(prefix + f.name.upper()) or "").strip() for f in fields(cls)}
+        own = {k: int(v) if k in ("port", "max_input_chars") else v for k, v in given.items() if v}
+        return cls(**{**own, "injection_guard_mode": parse_mode(given["injection_guard_mode"])})
+
+    @property
+    def injection_mode(self) -> str:
+        return self.injection_guard_mode
 
     def input_chain(self) -> GuardChain:
-        return server_chain(self.max_input_chars, self.injection_mode)
+        return server_chain(self.max_input_chars, self.injection_guard_mode)
+
+    def untrusted_chain(self) -> GuardChain:
+        """The guards for what retrieval and tools bring in: those of the mode."""
+        return GuardChain(injection_guards(self.injection_guard_mode))
+
+
+def authorized(header, path, key: str | None):
+    """Whether requests with an Authorization header may pass, as a column: all without a key, those for /health, and those with the key as
+    bearer. The scheme is read whatever its case; digests are compared, so that time tells nothing of the key."""
+    if not (key or "").strip():
+        return F.lit(True)
+    token = F.regexp_extract(header, r"(?i)^\s*bearer\s+(.*?)\s*$", 1)
+    return F.coalesce(path == "/health", F.lit(False)) | F.coalesce(F.sha2(token, 256) == F.sha2(F.lit(key), 256), F.lit(False))
 
 
 class ProviderRegistry:

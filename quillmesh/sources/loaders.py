@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,17 @@ def load_markdown_documents(spark: SparkSession, directory: str) -> DataFrame:
     return load_documents(spark, directory, "md")
 
 
+@dataclass(frozen=True)
+class FileLoader:
+    """A loader of ``plans.ingestion`` over the files of a directory."""
+
+    directory: str
+    suffix: str = "txt"
+
+    def load(self, spark: SparkSession) -> DataFrame:
+        return load_documents(spark, self.directory, self.suffix)
+
+
 def parse_skill(text: str) -> dict:
     """Front matter between two lines of three hyphens, then the body, trimmed. Missing or unclosed front matter is an error."""
     m = re.match(r"---[ \t]*\r?\n(.*?)(?:^|\n)---[ \t]*(?:\r?\n|\Z)(.*)", text, re.S)

@@ -387,3 +387,142 @@ def test_many_rules_are_searched_in_blocks(spark, monkeypatch):
     assert run(few) == want
     assert run(rules) == ["m4", "m4", "dm", "dm", "m199"]
     assert df.select(routing.rules_as_case(F.col("t"), [], None).alias("x")).where("x is null").count() == 5
+
+
+_CHILD = """
+import json, sys
+held = []
+for line in sys.stdin:
+    r = json.loads(line)
+    print("noise", flush=True)
+    print("to the log", file=sys.stderr, flush=True)
+    if r.get("method") == "tools/call":
+        q = r["params"]["arguments"]["query"]
+        if q == "silence":
+            continue
+        if q == "leave":
+            sys.exit(0)
+        held.append(json.dumps({"jsonrpc": "2.0", "id": r["id"], "result": {"content": [{"type": "text", "text": "found " + q}, {"type": "resource", "resource": {"uri": "u", "text": "more"}}]}}))
+        if len(held) == 2 or q == "now":
+            print("\\n".join(reversed(held)), flush=True)
+            held = []
+    elif "id" in r:
+        print(json.dumps({"jsonrpc": "2.0", "id": r["id"], "result": {}}), flush=True)
+"""
+
+
+def _lines(spark, queries):
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(queries, 1)], "id bigint, q string").coalesce(1)
+    line = mcp.jsonrpc_request(F.col("id"), F.lit("tools/call"), mcp.call_params(F.lit("search"), mcp.query_arguments(F.col("q"), F.lit(2))))
+    return rows.select("id", "q", F.when(F.col("q").isNotNull(), line).alias("line"))
+
+
+def test_a_tool_server_in_a_process(spark):
+    import sys
+
+    from quillmesh.sources import tool_servers
+
+    command = [sys.executable, "-c", _CHILD]
+    got = {r.q: r.reply for r in tool_servers.call_process(_lines(spark, ["a", "b", None, "silence", "now"]), command, timeout=5).collect()}
+    assert got[None] is None and got["silence"] is None and '"found a"' in got["a"] and '"found b"' in got["b"] and '"found now"' in got["now"]
+    gone = {r.q: r.reply for r in tool_servers.call_process(_lines(spark, ["leave", "now"]), command, timeout=5).collect()}
+    assert gone["leave"] is None
+    assert tool_servers.call_process(_lines(spark, ["a"]).limit(0), command).count() == 0
+    requests = spark.createDataFrame([("r", "p", "m", "now", None)], "request_id string, provider_id string, model string, user_input string, history array<struct<role:string,content:string>>")
+    cfg = EngineConfig(retriever=tool_servers.tool_retriever(lambda df: tool_servers.call_process(df, command, timeout=10), "search"))
+    assert pipeline.run_pipeline(requests, cfg).first().messages[0].content == "Context:\n- [search] found now\n- [u] more"
+
+
+def test_a_tool_server_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from quillmesh.sources import tool_servers
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_POST(self):  # noqa: N802
+            r = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            q = r["params"]["arguments"]["query"]
+            answer = json.dumps({"id": r["id"], "result": {"content": [{"text": q}]}})
+            kind = "application/json" if q == "plain" else "text/event-stream"
+            body = answer if q == "plain" else 'event: x\ndata: {"method": "notify"}\n\ndata: {"id": 999, "result": 1}\n\n' + (f"data: {answer}\n\n" if q == "stream" else "")
+            self.send_response(500 if q == "broken" else 200)
+            self.send_header("Content-Type", kind)
+            self.end_headers()
+            self.wfile.write(body.encode())
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        got = {r.q: r.reply for r in tool_servers.call_http(_lines(spark, ["plain", "stream", "other", "broken", None]), url, timeout=5).collect()}
+    finally:
+        server.shutdown()
+    assert '"plain"' in got["plain"] and '"stream"' in got["stream"] and got["other"] is got["broken"] is got[None] is None
+    assert tool_servers.response_id("junk{") is None and tool_servers.response_id("[1]") is None
+
+
+def test_ingestion_from_a_loader(spark, tmp_path):
+    from quillmesh.functions.text import hash_embedding
+    from quillmesh.plans.ingestion import run_ingestion
+
+    (tmp_path / "a.txt").write_text("vector search")
+    (tmp_path / "b.txt").write_text("bananas")
+    held = spark.createDataFrame([("a.txt#7", "a.txt", 7, "old", None), ("z#0", "z", 0, "stays", None)], "id string, doc_id string, chunk_index int, content string, embedding array<float>")
+    seen = []
+    write = lambda df: seen.append(sorted((r.id, r.content) for r in df.collect()))
+    embed = lambda t: hash_embedding(t, 8)
+    assert run_ingestion(spark, loaders.FileLoader(str(tmp_path)), held, write, 10, 0, embed, 8) == 3
+    assert seen == [[("a.txt#0", "vector sea"), ("a.txt#1", "rch"), ("b.txt#0", "bananas"), ("z#0", "stays")]]
+    none = spark.createDataFrame([], "id string, content string")
+    assert run_ingestion(spark, none, held, write, 10) == 0 and len(seen) == 1
+    for bad in ([("x", None)], [(" ", "text")], [(None, "text")]):
+        with pytest.raises(ValueError):
+            run_ingestion(spark, spark.createDataFrame(bad, "id string, content string"), held, write, 10)
+    with pytest.raises(ValueError):
+        run_ingestion(spark, spark.createDataFrame([("x", "text")], "id string, content string"), held, write, 10, 0, embed, 9)
+    assert len(seen) == 1
+
+
+def test_settings_and_keys(spark):
+    from quillmesh.sources.config import authorized
+
+    s = Settings.from_env({"QUILLMESH_PORT": "9", "QUILLMESH_SKILLS_DIR": " /s ", "QUILLMESH_SERVER_API_KEY": "", "QUILLMESH_INJECTION_GUARD_MODE": "strict"})
+    assert (s.port, s.skills_dir, s.server_api_key, s.injection_mode, s.provider_id) == (9, "/s", None, "strict", "ollama")
+    assert [g.guard_id for g in s.untrusted_chain().guards] == ["prompt-injection", "encoded-prompt-injection"]
+    for bad in ({"QUILLMESH_PORT": "x"}, {"QUILLMESH_INJECTION_GUARD_MODE": "maybe"}):
+        with pytest.raises(ValueError):
+            Settings.from_env(bad)
+    df = spark.createDataFrame([("Bearer k", "/x"), ("bEARER  k ", "/x"), ("Bearer K", "/x"), ("k", "/x"), (None, "/x"), (None, "/health"), ("", None)], "h string, p string")
+    assert [r[0] for r in df.select(authorized(F.col("h"), F.col("p"), "k")).collect()] == [True, True, False, False, False, True, False]
+    assert df.where(authorized(F.col("h"), F.col("p"), " ")).count() == 7
+
+
+def test_discovery_leaves_out_what_cannot_be_loaded(monkeypatch):
+    from quillmesh.sources import config
+
+    class Entry:
+        def __init__(self, name, what):
+            self.name, self.what = name, what
+
+        def load(self):
+            if self.what is None:
+                raise ImportError("gone")
+            return self.what
+
+    monkeypatch.setattr(config.metadata, "entry_points", lambda group: [Entry("b", None), Entry("a", "A")] if group == "quillmesh.providers" else [])
+    assert ProviderRegistry().discover().ids() == ["a"]
+
+
+def test_persona_comes_before_the_configured_prefix(spark):
+    from quillmesh.sources.config import PersonaManager
+
+    manager = PersonaManager()
+    requests = spark.createDataFrame([("r", "p", "m", "hi", None)], "request_id string, provider_id string, model string, user_input string, history array<struct<role:string,content:string>>")
+    first = lambda: pipeline.run_pipeline(requests, EngineConfig(persona=manager, persona_prefix="Plain.")).first().messages[0].content
+    assert first() == "Plain."
+    manager.switch("pilot", "Fly.")
+    assert first() == "Fly."
