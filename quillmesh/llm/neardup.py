@@ -38,6 +38,8 @@ EXPAND_PART = 2_000  # copies of one class that a task pairs with others
 
 
 class _Hashes(dict):
+    """64-bit hashes of words, kept as long as there are not too many."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
             self.clear()
@@ -45,7 +47,7 @@ class _Hashes(dict):
         return h
 
 
-_HASH_OF = _Hashes()
+HASH_OF = _Hashes()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -58,7 +60,7 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     found = WORD.findall(text.lower())
     if not found:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(_HASH_OF.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(HASH_OF.__getitem__, found), np.uint64, len(found))
     words = min(words, len(found))
     n = len(found) - words + 1
     x = _mixed(h[:n] + np.uint64(words))
@@ -109,7 +111,7 @@ def posterior_table(threshold: float, miss: float, batch: int, total: int) -> li
 _SKETCH = "doc string, cid bigint, class binary, low binary, high binary"
 
 
-def _class_of(shingles: np.ndarray) -> tuple[int, bytes]:
+def class_of(shingles: np.ndarray) -> tuple[int, bytes]:
     """A 64-bit id for candidates and 128 bits that stand for the set."""
     digest = xxhash.xxh128_digest(shingles.tobytes())
     cid = int.from_bytes(digest[:8], "big", signed=True)
@@ -127,7 +129,7 @@ def _sketch(words: int, count: int):
                 s = shingle_set(text, words)
                 if not len(s):
                     continue
-                cid, digest = _class_of(s)
+                cid, digest = class_of(s)
                 if digest in seen:
                     rows.append((doc, cid, digest, None, None))
                 else:
@@ -350,7 +352,7 @@ def _sets(words: int):
             rows = []
             for cid, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingle_set(text, words)
-                if len(s) and _class_of(s)[1] == digest:
+                if len(s) and class_of(s)[1] == digest:
                     rows.append((cid, digest, s))
             columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))], names=["cid", "class", "shingles"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.langid import FUNCTION_WORDS, language, prompt_language
-from quillmesh.llm.neardup import _class_of, class_links, shingle_set
+from quillmesh.llm.neardup import class_of, class_links, shingle_set
 from quillmesh.llm.truncation import ENDING, ending_columns, judge_endings, length_measures
 from quillmesh.session import cut_lineage, salt_hot, spread
 
@@ -224,7 +224,7 @@ def _features(batches):
                 # Words leave the task as hashes: the checkpoint holds no text.
                 hidden = " ".join(w if w == "x" else f"{xxhash.xxh64_intdigest(w):x}" for w in words)
                 shingles = shingle_set(hidden, TEMPLATE["words"])
-                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, hidden or None, _class_of(shingles)[1] if len(shingles) else None, alone, sum(w != "x" for w in words), body, topic(prompt)))
+                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, hidden or None, class_of(shingles)[1] if len(shingles) else None, alone, sum(w != "x" for w in words), body, topic(prompt)))
         out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening", "class", "alone", "own_words", "body", "topic"])
         out = out.astype({"body": "Int64", "topic": "Int64"})
         yield pd.concat([pdf[["rid", "source", "context", "lengths"]].reset_index(drop=True), out, pd.DataFrame(ending_columns(pdf["content"]))], axis=1)

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmesh.llm.neardup import HASH_OF
 from quillmesh.session import cut_lineage, salt_hot, spread
 
 MOST_FILTER_BITS = 1 << 27
@@ -48,25 +49,12 @@ _OPEN_END = re.compile(r"[,;:(\[{<“«\-–—/&=+]$")
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
 
-
-
 _HALF, _PHRASE, _CHAIN, _FULL, _ITEM_END, _ITEM_FORM, _CLOSING = (xxhash.xxh64_intdigest(k) for k in ("half", "phrase", "chain", "full", "item end", "item form", "closing"))
 _MASK = 2**64 - 1
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASH_OF = _Hashes()
-
-
 def _next(chain: int, word: str) -> int:
-    return (chain * 0x9E3779B97F4A7C15 + _HASH_OF[word]) & _MASK
+    return (chain * 0x9E3779B97F4A7C15 + HASH_OF[word]) & _MASK
 
 
 def _key(kind: int, chain: int) -> int:
