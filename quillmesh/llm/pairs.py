@@ -56,6 +56,11 @@ _DECLINE = re.compile(
     """,
     re.I | re.X,
 )
+# Of these words, folded, every way to decline holds one.
+_DECLINE_WORDS = frozenset(
+    "t not cannot unable refuse decline pass off outside beyond nothing rather prefer prefiro prefiero prefere no forbid forbids prohibit prohibits prevent prevents against "
+    "nao recusar declinar negar negarme negarnos negarle negarlo negarla recuso fora nenhuma rechazar rechazo fuera ninguna ne refuser decliner nicht ablehnen".split()
+)
 # Courtesy that answers nothing.
 _COURTESY = re.compile(
     r"""^\W*(?:sorry|apolog|unfortunately|thank|thanks|i\s+understand|please\s+(?:consult|contact|ask|reach|see|talk)|perhaps\s+your|maybe\s+your|if\s+you\s+have\s+(?:another|other|any)|is\s+there\s+anything|let\s+me\s+know|good\s+(?:question|point)|i(?:'m|\s+am)\s+(?:sorry|happy)|can\s+i\s+help|how\s+else|feel\s+free|ok\b|sure\W*$|certainly\W*$|i\s+appreciate|as\s+an\s+(?:ai|assistant)
@@ -184,12 +189,13 @@ def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bo
     text = content.replace("’", "'").replace("‘", "'")
     sentences = [s for s in _SENTENCE.split(text) if s and _WORD.search(s)]
     declines = other = words = 0
+    may = not _DECLINE_WORDS.isdisjoint(fold(text)) or "negar" in text.lower()
     opening = next((s for s in sentences if not _COURTESY.search(s)), sentences[0] if sentences else "")
     rest = []
     for s in sentences:
         n = len(_WORD.findall(s))
         words += n
-        if _DECLINE.search(s):
+        if may and _DECLINE.search(s):
             if not declines:
                 opening = s
             declines += 1
