@@ -20,10 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.neardup import window_hashes
 from quillmesh.session import cut_lineage, spread
 
 MAX_SHARED_GRAMS = 4_000_000  # 8 bytes each
@@ -60,28 +60,33 @@ def plain_words(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def gram_hashes(words: list[str], n: int) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + n])) for i in range(len(words) - n + 1)], np.uint64).view(np.int64)
-
-
 def align(item: list[str], doc: list[str], match: int = 2, miss: int = -1, gap: int = -1) -> tuple[int, int]:
     """(best local alignment score, longest verbatim run), by rows over the item's words."""
     code = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    d = np.array([code.get(w, -1) for w in doc], np.int32)
-    step = -gap * np.arange(len(d) + 1)
-    prev = np.zeros(len(d) + 1, np.int32)
-    run = np.zeros(len(d) + 1, np.int32)
-    best = longest = 0
+    d = np.fromiter((code.get(w, -1) for w in doc), np.int32, len(doc))
+    n = len(d)
+    step = -gap * np.arange(n + 1, dtype=np.int32)
+    same = {w: (d == c).astype(np.int32) for w, c in code.items()}
+    gain = {w: s * (match - miss) + miss for w, s in same.items()}
+    now, score, ahead, best = (np.zeros(n + 1, np.int32) for _ in range(4))
+    run, longest, longer = (np.zeros(n + 1, np.int32) for _ in range(3))
     for w in item:
-        same = d == code[w]
-        now = np.zeros(len(d) + 1, np.int32)
-        now[1:] = np.maximum(prev[:-1] + np.where(same, match, miss), prev[1:] + gap)
+        # From the diagonal or from above, never below nothing; then along the row, a gap a word.
+        np.add(score[:-1], gain[w], out=now[1:])
+        np.add(score, gap, out=ahead)
+        np.maximum(now[1:], ahead[1:], out=now[1:])
         np.maximum(now, 0, out=now)
-        now = np.maximum(now, np.maximum.accumulate(now + step) - step)
-        run[1:] = np.where(same, run[:-1] + 1, 0)
-        best, longest = max(best, int(now.max())), max(longest, int(run.max()))
-        prev = now
-    return best, longest
+        now[0] = 0
+        np.add(now, step, out=ahead)
+        np.maximum.accumulate(ahead, out=ahead)
+        np.subtract(ahead, step, out=ahead)
+        np.maximum(now, ahead, out=score)
+        np.maximum(best, score, out=best)
+        np.add(run[:-1], 1, out=longer[1:])
+        np.multiply(longer[1:], same[w], out=longer[1:])
+        run, longer = longer, run
+        np.maximum(longest, run, out=longest)
+    return int(best.max(initial=0)), int(longest.max(initial=0))
 
 
 def _item_grams(n: int, min_run: int):
@@ -91,7 +96,7 @@ def _item_grams(n: int, min_run: int):
             for item, text in zip(pdf["item_id"], pdf["item_text"]):
                 words = plain_words(text)
                 if len(words) >= min_run:
-                    out += [(item, g) for g in np.unique(gram_hashes(words, n)).tolist()]
+                    out += [(item, g) for g in np.unique(window_hashes(words, n)).tolist()]
             yield pd.DataFrame(out, columns=["item_id", "gram"])
 
     return run
@@ -125,9 +130,10 @@ def _score(doc_id, words: list[str], present: set[str], item_id, item: list[str]
     nothing: only those stretches are aligned, and of them only what could beat the best so far or holds a long run.
     """
     own, whole = set(item), 2.0 * len(item)
-    if sum(w in present for w in item) < min_run and most_score(np.array([w in present for w in item])) / whole < min_share:
+    of_item = [w in present for w in item]
+    if sum(of_item) < min_run and most_score(np.array(of_item)) / whole < min_share:
         return []
-    known = np.fromiter((w in own for w in words), bool, len(words))
+    known = np.fromiter(map(own.__contains__, words), bool, len(words))
     bound = _bounds(known)
     if bound.max(initial=0) / whole < min_share and not _has_run(known, min_run):
         return []
@@ -157,7 +163,7 @@ def _screen(shared, n: int, min_run: int, min_share: float):
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 words = plain_words(text)
-                found = np.unique(gram_hashes(words, n))
+                found = np.unique(window_hashes(words, n))
                 if not len(found) or not len(table):
                     continue
                 at = np.minimum(np.searchsorted(table, found), len(table) - 1)
@@ -174,7 +180,7 @@ def _screen(shared, n: int, min_run: int, min_share: float):
 def _doc_grams(n: int):
     def run(batches):
         for pdf in batches:
-            out = [(doc, np.unique(gram_hashes(plain_words(text), n))) for doc, text in zip(pdf["doc_id"], pdf["text"])]
+            out = [(doc, np.unique(window_hashes(plain_words(text), n))) for doc, text in zip(pdf["doc_id"], pdf["text"])]
             yield pd.DataFrame(out, columns=["doc_id", "grams"])
 
     return run

@@ -30,7 +30,7 @@ WORD = re.compile(r"[^\W_]+")
 HOT = 64  # from so many classes on, a band value is worked on in tiles
 LOCAL_HOT = 64  # from so many classes of one chunk on, a band value is kept out of its bucket
 TILE = 2048  # classes in a tile
-CHUNK = 65_536  # classes that a task packs at a time
+CHUNK = 16_384  # classes that a task packs at a time
 BUCKET = 1_000_000  # postings in a bucket, as long as there are at most MOST_BUCKETS
 MOST_BUCKETS = 65_536
 HOT_MARK = -(2**63)  # in a bucket: this band value is hot elsewhere
@@ -55,18 +55,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def window_hashes(words: list[str], n: int) -> np.ndarray:
+    """64-bit hashes of all runs of ``n`` words, in order."""
+    m = len(words) - n + 1
+    if m < 1:
+        return np.empty(0, np.int64)
+    h = np.fromiter(map(HASH_OF.__getitem__, words), np.uint64, len(words))
+    x = _mixed(h[:m] + np.uint64(n))
+    for j in range(1, n):
+        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[j : m + j])
+    return x.view(np.int64)
+
+
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct word shingles; a shorter text is one shingle of all its words."""
     found = WORD.findall(text.lower())
-    if not found:
-        return np.empty(0, np.int64)
-    h = np.fromiter(map(HASH_OF.__getitem__, found), np.uint64, len(found))
-    words = min(words, len(found))
-    n = len(found) - words + 1
-    x = _mixed(h[:n] + np.uint64(words))
-    for j in range(1, words):
-        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[j : n + j])
-    return np.unique(x.view(np.int64))
+    return np.unique(window_hashes(found, min(words, len(found)))) if found else np.empty(0, np.int64)
 
 
 @functools.lru_cache(maxsize=4)
@@ -157,11 +161,10 @@ def sketches(df: DataFrame, id_col: str, text_col: str, *, words: int, count: in
 
 def band_keys(low: np.ndarray, high: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """64-bit keys of the bands, one row a signature."""
-    sig = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(8))
-    sig = sig[:, : bands * rows].reshape(len(sig), bands, rows)
-    key = np.broadcast_to(_mixed(np.arange(1, bands + 1, dtype=np.uint64)), sig.shape[:2])
+    low, high = (x[:, : bands * rows].reshape(len(x), bands, rows) for x in (low, high))
+    key = np.broadcast_to(_mixed(np.arange(1, bands + 1, dtype=np.uint64)), low.shape[:2])
     for r in range(rows):
-        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + (low[:, :, r].astype(np.uint64) | high[:, :, r].astype(np.uint64) << np.uint64(8)))
     return key
 
 
