@@ -213,31 +213,40 @@ def decline_parts(prompt: str | None, content: str) -> tuple[bool, bool, str, bo
     return declines > 0, bare, " ".join(masked), _few(beside, words), body
 
 
-_FEATURES = f"rid string, source string, context bigint, lengths array<int>, own string, declines boolean, bare boolean, opening string, class binary, alone boolean, own_words int, body bigint, topic bigint, {ENDING}"
-
-
-def _features(batches):
-    for pdf in batches:
-        rows = []
-        for prompt, content, finish in zip(pdf["prompt"], pdf["content"], pdf["finish"]):
-            if is_empty(content):
-                rows.append((None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, None, None, False, 0, None, None))
-            elif is_copy(prompt, content):
-                rows.append(("copy", False, False, None, None, False, 0, None, None))
-            else:
-                declines, bare, opening, alone, body = decline_parts(prompt, content)
-                words = opening.split()
-                # Words leave the task as hashes: the checkpoint holds no text.
-                hidden = " ".join(w if w == "x" else f"{xxhash.xxh64_intdigest(w):x}" for w in words)
-                shingles = shingle_set(hidden, TEMPLATE["words"])
-                rows.append(("other_language" if is_other_language(prompt, content) else None, declines, bare, hidden or None, class_of(shingles)[1] if len(shingles) else None, alone, sum(w != "x" for w in words), body, topic(prompt)))
-        out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opening", "class", "alone", "own_words", "body", "topic"])
-        out = out.astype({"body": "Int64", "topic": "Int64"})
-        yield pd.concat([pdf[["rid", "source", "context", "lengths"]].reset_index(drop=True), out, pd.DataFrame(ending_columns(pdf["content"]))], axis=1)
-
-
-def pair_features(responses: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row a response, checkpointed: what its own words show, its opening, its ending and lengths; no text."""
+_FEATURES = f"rid string, source string, context bigint, lengths array<int>, own string, declines boolean, bare boolean, opens boolean, opening string, class binary, alone boolean, own_words int, body bigint, topic bigint, {ENDING}"
+
+
+def _features(templates: bool):
+    """``templates``: with what clusters of openings need; else those columns are empty."""
+    nothing = (None, None, False, 0, None, None)
+
+    def told(prompt, content, finish):
+        if is_empty(content):
+            return (None if (finish or "").strip().upper() == "TOOL_CALLS" else "empty", False, False, False, *nothing)
+        if is_copy(prompt, content):
+            return ("copy", False, False, False, *nothing)
+        declines, bare, opening, alone, body = decline_parts(prompt, content)
+        own = "other_language" if is_other_language(prompt, content) else None
+        if not templates:
+            return (own, declines, bare, bool(opening), *nothing)
+        words = opening.split()
+        # Words leave the task as hashes: the checkpoint holds no text.
+        hidden = " ".join(w if w == "x" else f"{xxhash.xxh64_intdigest(w):x}" for w in words)
+        shingles = shingle_set(hidden, TEMPLATE["words"])
+        return (own, declines, bare, bool(opening), hidden or None, class_of(shingles)[1] if len(shingles) else None, alone, sum(w != "x" for w in words), body, topic(prompt))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [told(*x) for x in zip(pdf["prompt"], pdf["content"], pdf["finish"])]
+            out = pd.DataFrame(rows, columns=["own", "declines", "bare", "opens", "opening", "class", "alone", "own_words", "body", "topic"])
+            out = out.astype({"body": "Int64", "topic": "Int64"})
+            yield pd.concat([pdf[["rid", "source", "context", "lengths"]].reset_index(drop=True), out, pd.DataFrame(ending_columns(pdf["content"]))], axis=1)
+
+    return run
+
+
+def pair_features(responses: DataFrame, requests: DataFrame, templates: bool = True) -> DataFrame:
+    """One row a response, checkpointed: what its own words show, its opening (with ``templates``), its ending and lengths; no text."""
     ask = requests.select("request_id", F.col("user_input").alias("prompt")).where("request_id is not null").groupBy("request_id").agg(F.min("prompt").alias("prompt"))
     told = responses.where("response_id is not null").select(
         F.col("response_id").cast("string").alias("rid"), "request_id", F.coalesce(F.col("provider_id").cast("string"), F.lit("")).alias("source"), F.col("content").cast("string").alias("content"), F.col("finish_reason").alias("finish")
@@ -248,7 +257,7 @@ def pair_features(responses: DataFrame, requests: DataFrame) -> DataFrame:
     context = F.xxhash64(F.coalesce("prompt", "key"))
     lengths = F.when(F.length("content") > 0, length_measures(F.col("content")))
     rows = joined.dropDuplicates(["key", "rid", "content"]).select("rid", "source", "prompt", "content", "finish", context.alias("context"), lengths.alias("lengths"))
-    made = spread(rows).mapInPandas(_features, _FEATURES)
+    made = spread(rows).mapInPandas(_features(templates), _FEATURES)
     first = Window.partitionBy("rid").orderBy("own", "closing", "class", "context")
     return cut_lineage(made.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at"))
 
@@ -256,14 +265,14 @@ def pair_features(responses: DataFrame, requests: DataFrame) -> DataFrame:
 def _cut(features: DataFrame, responses: DataFrame) -> DataFrame:
     """Rows of ``judge_endings`` of responses that are cut and have no other defect of their own words."""
     texts = responses.where("response_id is not null").select(F.col("content").cast("string").alias("text"))
-    plain = features.where("own is null and opening is not null and not (declines and bare)").select("rid")
+    plain = features.where("own is null and opens and not (declines and bare)").select("rid")
     return judge_endings(features.select("rid", "source", "context", "lengths", "state", "open", "closing", "chains"), texts).where("is_cut").join(plain.hint("merge"), "rid", "left_semi")
 
 
 def cut_responses(responses: DataFrame, requests: DataFrame) -> DataFrame:
     """(response_id, provider_id, evidence, measure, length_limit): responses cut before their end, with what shows it and the
     limit they lie on, if any. A missing provider_id is an empty text. Rows as for ``pair_defects``."""
-    cut = _cut(pair_features(responses, requests), responses)
+    cut = _cut(pair_features(responses, requests, templates=False), responses)
     return cut.select(F.col("rid").alias("response_id"), F.col("source").alias("provider_id"), "evidence", "measure", "length_limit")
 
 
