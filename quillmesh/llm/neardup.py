@@ -371,7 +371,8 @@ def class_links(df: DataFrame, id_col: str, text_col: str, *, threshold: float,
     # A text of each class that takes part in a surviving pair, by its smallest id.
     needed = alive.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     holders = made.join(needed.hint("merge"), "cid", "left_semi").groupBy("cid", "class").agg(F.min("doc").alias("doc"))
-    texts = holders.hint("merge").join(_texts(df, id_col, text_col), "doc").dropDuplicates(["doc", "class", "text"])
+    # Repeated rows are merged before they are shuffled: an id given very often would meet in one task.
+    texts = holders.hint("merge").join(_texts(df, id_col, text_col).distinct(), "doc")
     sets = texts.select("cid", "class", "text").mapInArrow(_sets(words), "cid bigint, class binary, shingles array<bigint>")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     links = (

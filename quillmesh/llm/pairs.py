@@ -253,10 +253,13 @@ def pair_features(responses: DataFrame, requests: DataFrame, templates: bool = T
     )
     # Responses without a request have keys of their own, so that they don't meet in one task.
     told = told.withColumn("key", F.coalesce("request_id", F.concat(F.lit("\u0000"), "rid")))
-    joined = told.join(ask.withColumnRenamed("request_id", "key").hint("merge"), "key", "left")
+    # One request may have very many responses: they are split before they meet it.
+    sized = told.groupBy("key").agg(F.count("*").alias("n")).join(ask.withColumnRenamed("request_id", "key").hint("merge"), "key", "left")
+    placed, by_part = salt_hot(told, sized, ["key"], "rid", total=responses.count())
+    joined = placed.join(by_part.drop("n").hint("merge"), ["key", "part"])
     context = F.xxhash64(F.coalesce("prompt", "key"))
     lengths = F.when(F.length("content") > 0, length_measures(F.col("content")))
-    rows = joined.dropDuplicates(["key", "rid", "content"]).select("rid", "source", "prompt", "content", "finish", context.alias("context"), lengths.alias("lengths"))
+    rows = joined.dropDuplicates(["key", "part", "rid", "content"]).select("rid", "source", "prompt", "content", "finish", context.alias("context"), lengths.alias("lengths"))
     made = spread(rows).mapInPandas(_features(templates), _FEATURES)
     first = Window.partitionBy("rid").orderBy("own", "closing", "class", "context")
     return cut_lineage(made.withColumn("at", F.row_number().over(first)).where("at = 1").drop("at"))

@@ -303,7 +303,10 @@ def judge_endings(parsed: DataFrame, texts: DataFrame, *, recur: int = 2, least:
     bits, size = asked_filter(filter_keys)
     known = spread(texts).mapInPandas(_teach(parsed.sparkSession.sparkContext.broadcast(bits), size), "key bigint").distinct()
     asked = opened.select("rid", F.explode("open").alias("key"))
-    hit = asked.join(known.hint("merge"), "key").groupBy("rid").agg(F.count("*").alias("hits"))
+    total = parsed.count()
+    taught_keys = asked.groupBy("key").agg(F.count("*").alias("n")).join(known.hint("merge"), "key", "left_semi")
+    split, keys_by_part = salt_hot(asked, taught_keys, ["key"], "rid", total=2 * total)
+    hit = split.join(keys_by_part.drop("n").hint("merge"), ["key", "part"]).groupBy("rid").agg(F.count("*").alias("hits"))
     closings = opened.where("closing is not null").groupBy("closing").agg(F.count_distinct(F.xxhash64("context")).alias("contexts"), F.count("*").alias("n"))
     vectors = cut_lineage(parsed.where("lengths is not null").groupBy("source", "lengths").agg(F.count("*").alias("n")))
     limits = _found_limits(vectors, least, times, around)
@@ -312,7 +315,6 @@ def judge_endings(parsed: DataFrame, texts: DataFrame, *, recur: int = 2, least:
     limited = best.select(F.xxhash64("source", "lengths").alias("vector"), F.col("limit.measure").alias("measure"), F.col("limit.length").alias("length_limit"), "n")
 
     rows = opened.select("rid", "source", "state", "closing", F.xxhash64("source", "lengths").alias("vector"))
-    total = parsed.count()
     placed, limits_by_part = salt_hot(rows, limited, ["vector"], "rid", total=total)
     placed = placed.join(limits_by_part.drop("n").hint("merge"), ["vector", "part"], "left").drop("part", "vector")
     ended, closings_by_part = salt_hot(placed, closings.where(F.col("contexts") >= recur), ["closing"], "rid", total=total)
