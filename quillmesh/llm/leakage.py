@@ -114,8 +114,9 @@ def _shared(texts: pd.DataFrame, grams: pd.DataFrame) -> tuple[np.ndarray, np.nd
 def _bounds(known: np.ndarray) -> np.ndarray:
     """At each place the most that an alignment ending there can score, given which words the other side has: 2 for each of those, -1 for
     each other."""
-    total = np.cumsum(np.where(known, 2, -1))
-    return total - np.minimum.accumulate(np.minimum(np.append(0, total[:-1]), 0))
+    total = np.zeros(len(known) + 1, np.int64)
+    np.cumsum(3 * known.astype(np.int64) - 1, out=total[1:])
+    return total[1:] - np.minimum.accumulate(total[:-1])
 
 
 def most_score(known: np.ndarray) -> int:
@@ -130,8 +131,8 @@ def _score(doc_id, words: list[str], present: set[str], item_id, item: list[str]
     nothing: only those stretches are aligned, and of them only what could beat the best so far or holds a long run.
     """
     own, whole = set(item), 2.0 * len(item)
-    of_item = [w in present for w in item]
-    if sum(of_item) < min_run and most_score(np.array(of_item)) / whole < min_share:
+    of_item = np.fromiter(map(present.__contains__, item), bool, len(item))
+    if not _has_run(of_item, min_run) and most_score(of_item) / whole < min_share:
         return []
     known = np.fromiter(map(own.__contains__, words), bool, len(words))
     bound = _bounds(known)
@@ -148,8 +149,7 @@ def _score(doc_id, words: list[str], present: set[str], item_id, item: list[str]
 
 
 def _has_run(known: np.ndarray, length: int) -> bool:
-    edge = np.flatnonzero(np.diff(np.r_[0, known, 0]))
-    return bool(len(edge)) and int((edge[1::2] - edge[::2]).max()) >= length
+    return b"\x01" * length in known.tobytes()
 
 
 _SCORED = ["doc_id", "item_id", "score", "share", "longest_run"]
