@@ -434,6 +434,7 @@ def test_a_tool_server_in_a_process(spark):
 
 
 def test_a_tool_server_over_http(spark):
+    import json
     import threading
     from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
